@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fluxtone.llm.common import table
+from fluxtone.llm import exact_dedup
 from fluxtone.llm.ngram_join import ngram_jaccard_join
 
 
@@ -12,6 +13,15 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
-QUERIES = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join}
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+QUERIES = {
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op7_exact_dedup": op7_exact_dedup,
+}
+
+ORACLE_SQL = {
+    "op7_exact_dedup": exact_dedup.ORACLE,
+}
