@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fluxtone.llm.common import table
-from fluxtone.llm import exact_dedup
+from fluxtone.llm import exact_dedup, mixing, packing
 from fluxtone.llm.ngram_join import ngram_jaccard_join
 
 
@@ -13,15 +13,26 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces(table(spark, sf_dir, "documents"), length=2048, end=1)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_packing": op4_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLE_SQL = {
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op8_mixing": mixing.ORACLE,
 }
