@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxtone.llm.common import components, drop_stored, small_batches, stored
@@ -43,6 +43,10 @@ SKETCH_ROWS, SKETCH_BITS, SKETCH_BLOCK = 2, 20, 1 << 15
 #: So many sketch blocks are added up by one call.
 SKETCH_FAN = 64
 SUFFIX_BITS = 1024
+#: The rows of an n-gram whose estimated count is above this are dealt to several tasks.
+SPREAD = 100_000
+#: Up to so many document ids (4 MB) go to every task; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def _cells(h: np.ndarray) -> list[np.ndarray]:
@@ -91,12 +95,14 @@ def _prefixes(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
         for batch in batches:
             for first, texts in parts(batch["text"]):
                 sets = batch_shingles(texts, k)
-                a, b, prefix, odd = [], [], [], []
+                a, b, prefix, spread, odd = [], [], [], [], []
                 for h in sets:
                     n = len(h)
                     keep = n - -(-percent * n // 100) + 1 if n else 0
                     guess = np.minimum.reduce([counts[c] for c in _cells(h)]) if n else h
-                    prefix.append(h[np.lexsort((h, guess))[:keep]].view(np.int64))
+                    order = np.lexsort((h, guess))[:keep]
+                    prefix.append(h[order].view(np.int64))
+                    spread.append((1 + guess[order] // SPREAD).astype(np.int32))
                     a.append(int((h * np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64).astype(np.int64)))
                     b.append(int(((h ^ (h >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64).astype(np.int64)))
                     parity = np.bincount((h >> np.uint64(54)).astype(np.int64), minlength=SUFFIX_BITS).astype(np.uint8) & 1
@@ -108,11 +114,12 @@ def _prefixes(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
                         "sig_a": pa.array(a, pa.int64()),
                         "sig_b": pa.array(b, pa.int64()),
                         "prefix": pa.array(prefix, pa.list_(pa.int64())),
+                        "spread": pa.array(spread, pa.list_(pa.int32())),
                         "odd": pa.array(odd, pa.list_(pa.int64())),
                     }
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long, prefix array<long>, odd array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long, prefix array<long>, spread array<int>, odd array<long>")
 
 
 def _passes(x: str, y: str, percent: int) -> F.Column:
@@ -127,8 +134,24 @@ def _passes(x: str, y: str, percent: int) -> F.Column:
     return length & (most >= need) & (apart <= both - 2 * need)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """The whole sets of the documents that some pair names: node, hashes."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in parts(batch["text"]):
+                found = batch_shingles(texts, k)
+                yield pa.record_batch({"node": batch["node"][first : first + len(texts)], "hashes": pa.array([h.tobytes() for h in found], pa.binary())})
+
+    if nodes.count() <= BROADCAST_IDS:
+        nodes = F.broadcast(nodes)
+    wanted = docs.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi")
+    # a doc_id with several texts is one node with several sets; any two that are similar link it
+    return stored(wanted.mapInArrow(hashes, "node long, hashes binary").dropDuplicates(["node", "hashes"]), "sets")
+
+
+def _verified(candidates: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) of a join of x and y whose whole sets are similar enough, as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,8 +162,14 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.record_batch({"a": batch["a"], "b": batch["b"]}).filter(pa.array(keep, pa.bool_()))
 
+    pairs = stored(candidates.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+    sets = _sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), k)
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")), "a")
-    return left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b")), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    met = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+    links = stored(met.mapInArrow(run, "a long, b long"), "links")
+    drop_stored(pairs)
+    drop_stored(sets)
+    return links
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -154,27 +183,23 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     full = rows.where("n > 0")
     classes = full.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("node"))
     named = full.join(classes.select(F.col("node").alias("doc_id"), "sig_a", "sig_b"), ["doc_id", "sig_a", "sig_b"]).dropDuplicates(["doc_id", "sig_a", "sig_b"])
-    entries = named.select(F.col("doc_id").alias("node"), F.posexplode("prefix").alias("pos", "token"), "n")
-    # n-grams that two nodes share, with the least of them
-    shared = entries.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("token", "hub")
-    bare = stored(entries.join(shared, "token"), "entries")
-    partners = bare.select("node").distinct()
-    odd = named.select(F.col("doc_id").alias("node"), "n", "odd")
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, texts in parts(batch["text"]):
-                found = batch_shingles(texts, k)
-                yield pa.record_batch({"node": batch["node"][first : first + len(texts)], "hashes": pa.array([h.tobytes() for h in found], pa.binary())})
-
-    wanted = docs.withColumnRenamed("doc_id", "node").join(partners, "node", "left_semi")
-    # a doc_id with several texts is one node with several sets; any two that are similar link it
-    sets = stored(wanted.mapInArrow(hashes, "node long, hashes binary").dropDuplicates(["node", "hashes"]), "sets")
+    tokens = named.select(F.col("doc_id").alias("node"), F.posexplode(F.arrays_zip("prefix", "spread")).alias("pos", "at"), "n").select("node", "n", "pos", "at.prefix", "at.spread")
+    entries = tokens.select("node", "n", "pos", F.col("prefix").alias("token"), "spread", F.pmod(F.xxhash64("node"), F.col("spread").cast("long")).alias("salt"))
+    # n-grams that two nodes share, with the least of them; counts that the sketch has as large meet in two steps
+    own = Window.partitionBy("token", "salt")
+    near = entries.withColumn("hub", F.min("node").over(own)).withColumn("last", F.max("node").over(own)).where("hub < last or spread > 1")
+    near = stored(near, "entries")
+    spread = near.where("spread > 1")
+    hubs = spread.groupBy("token").agg(F.min("hub").alias("hub"), F.max("last").alias("last")).where("hub < last").select("token", "hub")
+    names = ["token", "node", "n", "pos", "hub"]
+    bare = near.where("spread = 1").select(names).union(spread.drop("hub").join(hubs, "token").select(names))
+    odd = rows.select(F.col("doc_id").alias("node"), "n", "odd").join(bare.select("node").distinct(), "node", "left_semi").dropDuplicates()
     entry = stored(bare.join(odd, ["node", "n"]), "entries")
-    drop_stored(bare)
+    drop_stored(near)
 
-    first = entry.alias("x").join(entry.where("node = hub").select("token", "node", "pos", "n", "odd").alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & _passes("x", "y", percent))
-    links = stored(_verify(first.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct(), sets, percent), "links")
+    heads = entry.where("node = hub").select("token", "node", "pos", "n", "odd")
+    first = entry.alias("x").join(heads.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & _passes("x", "y", percent))
+    links = _verified(first, docs, k, percent)
     labels = components(links)
 
     placed = entry.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -183,9 +208,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     apart = placed.where("label <> top")
     mixed = stored(placed.join(apart.select("token").distinct(), "token"), "mixed")
     rest = mixed.where("label <> top").alias("x").join(mixed.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))) & _passes("x", "y", percent))
-    more = stored(_verify(rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), sets, percent), "links")
+    more = _verified(rest, docs, k, percent)
     final = components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))), labels) if more.limit(1).count() else labels
-    for x in (sets, entry, mixed, links, more):
+    for x in (entry, mixed, links, more):
         drop_stored(x)
     if final is not labels:
         drop_stored(labels)
