@@ -42,15 +42,15 @@ for _k, _bytes in enumerate((range(97, 123), range(65, 91), range(48, 58), b" ",
 
 
 def features(texts: list[bytes | None]) -> np.ndarray:
-    """Texts x measures."""
+    """One or more texts x measures."""
     data, starts = joined(texts)
+    data += b"\n"
     n, size = len(texts), np.array([len(t or b"") for t in texts], np.float64)
     kind = np.zeros(len(data) + 1, np.int64)
     kind[1:] = _KIND[np.frombuffer(data, np.uint8)]
-    ends = starts[1:] - 1
-    kind[ends[ends < len(data)] + 1] = 0  # between two texts
-    owner = np.repeat(np.arange(n), np.diff(starts))[: len(data)]
-    pairs = np.bincount(owner * _KINDS**2 + kind[:-1] * _KINDS + kind[1:], minlength=n * _KINDS**2).reshape(n, -1) if len(data) else np.zeros((n, _KINDS**2))
+    kind[starts[1:]] = 0  # after each text
+    owner = np.repeat(np.arange(n), np.diff(starts))
+    pairs = np.bincount(owner * _KINDS**2 + kind[:-1] * _KINDS + kind[1:], minlength=n * _KINDS**2).reshape(n, -1)
     single = pairs.reshape(n, _KINDS, _KINDS).sum(axis=1)[:, 1:]
     at, end, h = words(data)
     bound = np.searchsorted(at, starts)
