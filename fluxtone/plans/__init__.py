@@ -1 +1,6 @@
+"""The registered queries, and the same in DuckDB SQL."""
 
+from fluxtone.plans import dsp
+
+QUERIES = {**dsp.QUERIES}
+ORACLE = {**dsp.ORACLE}
