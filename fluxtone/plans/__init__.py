@@ -1,6 +1,7 @@
 """The registered queries, and the same in DuckDB SQL."""
 
-from fluxtone.plans import dsp
+from fluxtone.plans import dsp, spectral
 
-QUERIES = {**dsp.QUERIES}
-ORACLE = {**dsp.ORACLE}
+_PARTS = (dsp, spectral)
+QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLE = {k: v for part in _PARTS for k, v in part.ORACLE.items()}
