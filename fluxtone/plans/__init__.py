@@ -1,7 +1,7 @@
 """The registered queries, and the same in DuckDB SQL."""
 
-from fluxtone.plans import dsp, spectral
+from fluxtone.plans import codecs, dsp, spectral, speech
 
-_PARTS = (dsp, spectral)
+_PARTS = (dsp, codecs, spectral, speech)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE = {k: v for part in _PARTS for k, v in part.ORACLE.items()}
