@@ -1,7 +1,7 @@
 """The registered queries, and the same in DuckDB SQL."""
 
-from fluxtone.plans import codecs, dsp, packets, spectral, speech
+from fluxtone.plans import codecs, containers, dsp, packets, spectral, speech
 
-_PARTS = (dsp, codecs, spectral, speech, packets)
+_PARTS = (dsp, codecs, spectral, speech, packets, containers)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE = {k: v for part in _PARTS for k, v in part.ORACLE.items()}
