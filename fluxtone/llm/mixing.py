@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxtone.llm.common import stored
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -55,6 +57,7 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     digits = F.length(F.bin("size"))
     band = F.when(F.col("size") < 16, F.col("size")).otherwise(digits * 8 + F.expr("shiftright(size, cast(length(bin(size)) - 4 as int))") % 8)
     rows = rows.withColumn("slot", F.concat(F.lpad(band.cast("string"), 4, "0"), F.substring("mark", 1, 1), F.conv(F.substring("mark", 2, 1), 16, 4).substr(1, 1)))
+    rows = stored(rows, "sizes")  # every text is read once
     spots = rows.groupBy("source", "slot").agg(F.count("*").alias("docs"), F.sum("size").alias("size"))
     ahead = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     spots = spots.withColumn("ahead", F.coalesce(F.sum("docs").over(ahead), F.lit(0)))

@@ -122,53 +122,63 @@ def _prefixes(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
     return docs.mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long, prefix array<long>, spread array<int>, odd array<long>")
 
 
-def _passes(x: str, y: str, percent: int) -> F.Column:
-    """Length, positional and suffix filters for nodes x and y that share a prefix n-gram at positions pos."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    both = c(x, "n") + c(y, "n")
-    need = F.expr(f"({percent} * ({x}.n + {y}.n) + {99 + percent}) div {100 + percent}")
-    length = F.least(c(x, "n"), c(y, "n")) * 100 >= F.greatest(c(x, "n"), c(y, "n")) * percent
-    # what came before this n-gram in both, itself, and what comes after
-    most = F.least(c(x, "pos"), c(y, "pos")) + F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos"))
-    apart = sum((F.bit_count(c(x, "odd")[i].bitwiseXOR(c(y, "odd")[i])) for i in range(SUFFIX_BITS // 64)), F.lit(0))
-    return length & (most >= need) & (apart <= both - 2 * need)
-
-
-def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """The whole sets of the documents that some pair names: node, hashes."""
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, texts in parts(batch["text"]):
-                found = batch_shingles(texts, k)
-                yield pa.record_batch({"node": batch["node"][first : first + len(texts)], "hashes": pa.array([h.tobytes() for h in found], pa.binary())})
+def _near(x: str, y: str, percent: int) -> F.Column:
+    """Length and positional filters for structs x and y (n, pos) that share a prefix n-gram at positions pos."""
+    length = F.expr(f"least({x}.n, {y}.n) * 100 >= greatest({x}.n, {y}.n) * {percent}")
+    # what came before this n-gram in both, and it and what comes after
+    most = F.expr(f"least({x}.pos, {y}.pos) + least({x}.n - {x}.pos, {y}.n - {y}.pos)")
+    return length & (most >= _need(x, y, percent))
 
-    if nodes.count() <= BROADCAST_IDS:
-        nodes = F.broadcast(nodes)
-    wanted = docs.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi")
-    # a doc_id with several texts is one node with several sets; any two that are similar link it
-    return stored(wanted.mapInArrow(hashes, "node long, hashes binary").dropDuplicates(["node", "hashes"]), "sets")
+
+def _need(x: str, y: str, percent: int) -> F.Column:
+    """The least intersection of sets that link."""
+    return F.expr(f"({percent} * ({x}.n + {y}.n) + {99 + percent}) div {100 + percent}")
+
+
+def _close(x: str, y: str, percent: int) -> F.Column:
+    """Suffix filter: ranges of unlike parity against the largest symmetric difference of sets that link."""
+    apart = F.aggregate(F.zip_with(f"{x}.odd", f"{y}.odd", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, v: a + v)
+    return apart <= F.col(f"{x}.n") + F.col(f"{y}.n") - 2 * _need(x, y, percent)
 
 
-def _verified(candidates: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) of a join of x and y whose whole sets are similar enough, as a written table."""
+def _coarse(odd: str) -> F.Column:
+    """Parities of a quarter as many ranges, each the union of four: enough to part most pairs, and cheap to carry."""
+    part = SUFFIX_BITS // 64 // 4
+    return F.array(*[F.col(odd)[i].bitwiseXOR(F.col(odd)[i + part]).bitwiseXOR(F.col(odd)[i + 2 * part]).bitwiseXOR(F.col(odd)[i + 3 * part]) for i in range(part)])
+
+
+def _verified(candidates: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) of ``candidates`` (a, b, n_a, n_b) whose whole sets are similar enough, as a written table.
+
+    ``rows`` has the fine parities for a last look before texts move.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for p, q in zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist(), strict=True):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.record_batch({"a": batch["a"], "b": batch["b"]}).filter(pa.array(keep, pa.bool_()))
-
-    pairs = stored(candidates.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
-    sets = _sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), k)
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")), "a")
-    met = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-    links = stored(met.mapInArrow(run, "a long, b long"), "links")
+            for first, texts in parts(batch["text_a"]):
+                cut = slice(first, first + len(texts))
+                keep = []
+                for p, q in zip(batch_shingles(texts, k), batch_shingles([x and x.encode() for x in batch["text_b"][cut].to_pylist()], k), strict=True):
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(p) + len(q) - both))
+                yield pa.record_batch({"a": batch["a"][cut], "b": batch["b"][cut]}).filter(pa.array(keep, pa.bool_()))
+
+    odd = rows.select("doc_id", "n", F.struct("n", "odd").alias("o"))
+    fine = candidates.select("a", "b", "n_a", "n_b").distinct()
+    fine = fine.join(odd.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("o").alias("x")), ["a", "n_a"])
+    fine = fine.join(odd.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("o").alias("y")), ["b", "n_b"])
+    pairs = stored(fine.where(_close("x", "y", percent)).select("a", "b").distinct(), "pairs")
+    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    if nodes.count() <= BROADCAST_IDS:
+        nodes = F.broadcast(nodes)
+    texts = stored(docs.join(nodes, "doc_id", "left_semi"), "texts")
+    # a doc_id with several texts is one node with several sets; any two that are similar link it
+    often = rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    texts = texts.join(often, "doc_id", "left_anti").union(texts.join(often, "doc_id", "left_semi").distinct())
+    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    met = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    links = stored(met.mapInArrow(run, "a long, b long").distinct(), "links")
     drop_stored(pairs)
-    drop_stored(sets)
     return links
 
 
@@ -187,30 +197,34 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     entries = tokens.select("node", "n", "pos", F.col("prefix").alias("token"), "spread", F.pmod(F.xxhash64("node"), F.col("spread").cast("long")).alias("salt"))
     # n-grams that two nodes share, with the least of them; counts that the sketch has as large meet in two steps
     own = Window.partitionBy("token", "salt")
-    near = entries.withColumn("hub", F.min("node").over(own)).withColumn("last", F.max("node").over(own)).where("hub < last or spread > 1")
-    near = stored(near, "entries")
+    entries = entries.withColumn("at", F.struct("node", "pos", "n")).withColumn("hub", F.min("at").over(own))
+    entries = entries.withColumn("last", F.max("node").over(own)).withColumn("rows", F.count("*").over(own))
+    near = stored(entries.where("hub.node < last or spread > 1").select("token", "at", "spread", "hub", "last", "rows"), "entries")
     spread = near.where("spread > 1")
-    hubs = spread.groupBy("token").agg(F.min("hub").alias("hub"), F.max("last").alias("last")).where("hub < last").select("token", "hub")
-    names = ["token", "node", "n", "pos", "hub"]
-    bare = near.where("spread = 1").select(names).union(spread.drop("hub").join(hubs, "token").select(names))
-    odd = rows.select(F.col("doc_id").alias("node"), "n", "odd").join(bare.select("node").distinct(), "node", "left_semi").dropDuplicates()
-    entry = stored(bare.join(odd, ["node", "n"]), "entries")
-    drop_stored(near)
-
-    heads = entry.where("node = hub").select("token", "node", "pos", "n", "odd")
-    first = entry.alias("x").join(heads.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & _passes("x", "y", percent))
-    links = _verified(first, docs, k, percent)
+    hubs = spread.groupBy("token").agg(F.min("hub").alias("hub"), F.max("last").alias("last"), F.count("*").alias("rows")).where("hub.node < last").drop("last")
+    names = ["token", "at", "hub", "rows"]
+    bare = near.where("spread = 1").select(names).unionByName(spread.select("token", "at").join(hubs, "token").select(names))
+
+    coarse = rows.select(F.col("doc_id").alias("node"), "n", _coarse("odd").alias("odd"))
+    first = bare.where((F.col("at.node") != F.col("hub.node")) & _near("at", "hub", percent)).select("at.node", "at.n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")).distinct()
+    first = first.join(coarse.select("node", "n", F.struct("n", "odd").alias("x")), ["node", "n"])
+    first = first.join(coarse.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.struct("n", "odd").alias("y")), ["hub", "hub_n"])
+    first = first.where(_close("x", "y", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_n").alias("n_a"), F.col("n").alias("n_b"))
+    links = _verified(first, docs, rows, k, percent)
     labels = components(links)
 
-    placed = entry.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # an n-gram of two nodes has had its only pair
+    slim = bare.where("rows > 2").select("token", "at.node", "at.n", "at.pos", F.col("hub.node").alias("hub"))
+    placed = slim.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     tops = labels.select(F.col("node").alias("hub"), F.col("label").alias("top"))
     placed = placed.join(tops, "hub", "left").withColumn("top", F.coalesce("top", "hub")).drop("hub")
-    apart = placed.where("label <> top")
-    mixed = stored(placed.join(apart.select("token").distinct(), "token"), "mixed")
-    rest = mixed.where("label <> top").alias("x").join(mixed.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))) & _passes("x", "y", percent))
-    more = _verified(rest, docs, k, percent)
+    apart = placed.where("label <> top").select("token").distinct()
+    mixed = stored(placed.join(apart, "token").join(coarse, ["node", "n"]), "mixed")
+    rest = mixed.where("label <> top").alias("x").join(mixed.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))) & _near("x", "y", percent) & _close("x", "y", percent))
+    ordered = F.when(F.col("x.node") < F.col("y.node"), F.struct(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))).otherwise(F.struct(F.col("y.node").alias("a"), F.col("x.node").alias("b"), F.col("y.n").alias("n_a"), F.col("x.n").alias("n_b")))
+    more = _verified(rest.select(ordered.alias("p")).select("p.*"), docs, rows, k, percent)
     final = components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))), labels) if more.limit(1).count() else labels
-    for x in (entry, mixed, links, more):
+    for x in (near, mixed, links, more):
         drop_stored(x)
     if final is not labels:
         drop_stored(labels)
