@@ -68,9 +68,11 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     content = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), BLANKS, "")
     long = F.char_length(F.coalesce(F.col("text").cast("string"), F.lit("")))
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), sha256(content).alias("_sha"), long.alias("_points"))
-    met = named.alias("d").join(keep.alias("k"), F.col("d._id").eqNullSafe(F.col("k._id")) & (F.col("d._sha") == F.col("k._sha")), "left_semi")
+    # one key without nulls for the join and the window, so that whole rows are shuffled once
+    key = F.concat_ws(" ", "_sha", "_id").alias("_key")
+    met = named.select("row", "_points", key).join(keep.select(key), "_key", "left_semi")
     # rows that repeat both doc_id and content: the longest original, as the operator keeps
-    turn = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(F.desc("_points")))
+    turn = F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("_points")))
     return met.withColumn("_turn", turn).where("_turn = 1").select("row.*")
 
 

@@ -83,13 +83,15 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     Rows that share doc_id, source and size (repeated rows) are given the copies in turn.
     """
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("i"), F.col("source").cast("string").alias("s"), size.alias("z"))
-    alike = Window.partitionBy("i", "s", "z").orderBy(F.lit(0))
-    rows = rows.withColumn("k", F.row_number().over(alike))
-    turns = copies(docs, **how).withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("copies")))
-    taken = turns.where("copies > 0")
-    met = rows.join(taken, F.col("i").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size")) & (F.col("k") == F.col("turn")))
-    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    # one key without nulls for the windows and the join, so that whole rows are shuffled once
+    key = lambda i, s, z: F.concat_ws(" ", F.col(z), F.coalesce(F.col(i).cast("string"), F.lit("-")), F.concat(F.lit("s"), F.col(s))).alias("key")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("i"), F.col("source").cast("string").alias("s"), size.alias("z")).select("row", key("i", "s", "z"))
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
+    # rows of one key have copies that differ by one at most
+    taken = copies(docs, **how).select("copies", key("doc_id", "source", "size")).groupBy("key").agg(F.sum("copies").alias("total"), F.count("*").alias("n")).where("total > 0")
+    each = F.expr("cast(total div n + if(turn <= total % n, 1, 0) as int)")
+    met = rows.join(taken, "key").select("row", each.alias("copies")).where("copies > 0")
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 ORACLE = """
