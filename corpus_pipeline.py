@@ -27,7 +27,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one that gives the group its name, the smallest doc_id."""
     found = ngram_join.ngram_jaccard_join(docs, k=5, percent=80)
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
+    drop = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    if drop.count() <= ngram_join.BROADCAST_IDS:  # else whole rows are shuffled
+        drop = F.broadcast(drop)
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
 
 
