@@ -1,23 +1,29 @@
 """Removing runs of lines that occur earlier in the corpus, found by winnowing.
 
 A line's hash is that of its words (A-Z as a-z, blanks aside); lines without a word have none and are passed
-over: they neither make nor break a run. In every window of ``run`` consecutive lines the line with the least
-mixed hash is selected, ties to the last, so two places that share a run of ``run`` lines or more select the
-same line of it: its hash is a guaranteed fingerprint. Texts with fewer lines are a single window.
-
-1. Fingerprints carry doc_id, position and the hashes of the ``run - 1`` lines on either side, which is as far
-   as one fingerprint has to extend: what lies beyond in a longer run has fingerprints of its own.
+over: they neither make nor break a run.
+
+By run, a line goes if and only if it lies in ``run`` or more consecutive lines, of ``least_words`` words or more
+in all, that also occur in this order at an earlier place; or is a line of ``long_words`` words or more that does.
+Whether a run is repeated is settled by its *tight windows*: for every line the shortest run of enough lines and
+words that starts with it, and the shortest that ends with it. A repeated run with enough of both is the union of
+the tight windows inside it (lines too near to its end for one that starts there have one that ends there), and
+each of them is repeated with it. So it is enough to match tight windows, to whatever place each has come from:
+runs of any length come out whole, and no pairs are made or chained. A tight window has at most
+``max(run, least_words)`` lines.
+
+By window (the default), ``least_words`` is asked of every ``run`` consecutive lines by themselves instead.
+
+1. In every window the line with the least mixed hash is selected, ties to the last: windows with equal lines
+   select the same line of them, whose hash is a guaranteed fingerprint. A row carries a fingerprint and the
+   windows that selected it, which extend both ways from it. Long lines are windows of one line.
 2. Fingerprints that occur once drop out (an aggregation that combines in each task, then a join).
-3. Extension both ways: for each of the ``run`` windows that hold the fingerprint, the places whose window
-   has equal hashes are a match. Matches share a key (fingerprint, shift, window hash), whose first place in
-   order of (doc_id, position) is one combining aggregation; no pairs are made, whatever the size of a group.
+3. Windows with equal lines share a key (fingerprint, window hash), whose first place in order of (doc_id,
+   position) is one combining aggregation; no pairs are made, whatever the size of a group.
 4. A window that has an earlier place is a later repeat: its lines go. Overlapping windows make longer runs.
 
-A line of ``long_words`` words or more is a passage by itself: it is a fingerprint too, with a window of one line.
-
-So a line goes if and only if it lies in ``run`` consecutive lines of at least ``least_words`` words in all that
-also occur at an earlier place, or is a long line that does; a first place keeps its lines, unless it laps over
-a later one (a line that a text repeats at once ``run`` times and more).
+A first place keeps its lines, unless it laps over a later one (a line that a text repeats at once ``run`` times
+and more).
 
 Defined cases: a null text is an empty one; texts without lines of words stay as they are; rows without doc_id
 come last in order; repeated rows (one doc_id, one text) are one document, and keep or lose the same lines, so
@@ -35,11 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxtone.llm.common import small_batches, stored
-from fluxtone.llm.textops import _K, joined, mix, parts, words
+from fluxtone.llm.textops import _BASE, _K, _powers, joined, mix, parts, words
 
 
-def line_hashes(texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text: its lines with words by number (parts between line feeds), their hashes, their word counts."""
+def _lines(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines with words, of all texts in a row: number in the data, hash, word count; bounds of texts in them, first number of each."""
     data, starts = joined(texts)
     at, _, h = words(data)
     feeds = np.flatnonzero(np.frombuffer(data + b"\n", np.uint8) == 10)  # feeds[i] ends line i
@@ -51,72 +57,89 @@ def line_hashes(texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray,
     total = np.add.reduceat(mix(h + place.astype(np.uint64) * _K[1]), edge) if len(edge) else np.zeros(0, np.uint64)
     hashes, number = mix(total + count.astype(np.uint64)), line[edge]
     first = np.searchsorted(feeds, starts[:-1])  # the number of each text's first line
-    cut = np.searchsorted(number, [*first, len(feeds)])
-    return [(number[a:b] - f, hashes[a:b], count[a:b]) for a, b, f in zip(cut, cut[1:], first, strict=False)]
+    return number, hashes, count, np.searchsorted(number, [*first, len(feeds)]), first
 
 
-def selected(h: np.ndarray, run: int) -> np.ndarray:
-    """Places of the window minima, the last of equal ones."""
-    n = len(h)
-    if n <= run:
-        return np.array([n - 1 - int(h[::-1].argmin())]) if n == run else np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(h, run)
-    return np.unique(np.arange(n - run + 1) + run - 1 - view[:, ::-1].argmin(axis=1))
+def line_hashes(texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text: its lines with words by number (parts between line feeds), their hashes, their word counts."""
+    number, hashes, count, cut, first = _lines(texts)
+    return [(number[a:b] - f, hashes[a:b], count[a:b]) for a, b, f in zip(cut, cut[1:], first, strict=False)]
 
 
-def _fingerprints(docs: DataFrame, run: int, least_words: int, long_words: int) -> DataFrame:
-    """A row for each fingerprint: print, doc_id, mark, place, and hashes of the windows that hold it (null: none, or too few words)."""
+def _windows(count: np.ndarray, cut: np.ndarray, run: int, least_words: int, long_words: int, by_run: bool) -> tuple[np.ndarray, np.ndarray]:
+    """First lines and sizes of the windows to match; none reaches into another text."""
+    n = len(count)
+    total = np.concatenate([[0], np.cumsum(count)])
+    text = np.repeat(np.arange(len(cut) - 1), np.diff(cut))  # of each line
+    at = np.arange(n)
+    stop = np.maximum(at + run, np.searchsorted(total, total[:-1] + least_words)) if by_run else at + run
+    good = stop <= cut[1:][text]
+    if not by_run:
+        good[good] &= total[stop[good]] - total[at[good]] >= least_words
+    pairs = [np.stack([at, stop], axis=1)[good]]
+    if by_run:
+        start = np.minimum(at + 1 - run, np.searchsorted(total, total[1:] - least_words, "right") - 1)
+        pairs.append(np.stack([start, at + 1], axis=1)[start >= cut[:-1][text]])
+    long = np.flatnonzero(count >= long_words)
+    pairs.append(np.stack([long, long + 1], axis=1))
+    begin, end = np.unique(np.concatenate(pairs), axis=0).T
+    return begin, end - begin
+
+
+def _fingerprints(docs: DataFrame, run: int, least_words: int, long_words: int, by_run: bool) -> DataFrame:
+    """A row for each fingerprint: print, doc_id, mark, and the windows that selected it (hash, first line, lines)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power, inverse = _powers(_BASE, 1 << 16), _powers(pow(_BASE, -1, 2**64), 1 << 16)
         for batch in batches:
             for first, texts in parts(batch["text"]):
-                prints, rows, places, windows = [], [], [], []
-                for i, (_, h, count) in enumerate(line_hashes(texts)):
-                    n = len(h)
-                    span = max(0, n - run + 1)
-                    combined, enough = np.zeros(span, np.uint64), np.zeros(span, np.int64)
-                    for j in range(run if span else 0):
-                        combined += h[j : n - run + 1 + j] * _K[2 + j]
-                        enough += count[j : n - run + 1 + j]
-                    combined = mix(combined).view(np.int64)
-                    chosen, long = selected(mix(h), run), np.flatnonzero(count >= long_words)
-                    minima = set(chosen.tolist())
-                    for p in np.union1d(chosen, long):
-                        own = [(int(combined[s]) if p in minima and 0 <= s < span and enough[s] >= least_words else None) for s in range(p - run + 1, p + 1)]
-                        own.append(int(h[p].astype(np.int64)) if count[p] >= long_words else None)
-                        if any(x is not None for x in own):
-                            prints.append(int(h[p].astype(np.int64)))
-                            rows.append(first + i)
-                            places.append(int(p))
-                            windows.append(own)
-                if rows:
-                    pick = pa.array(rows, pa.int64())
-                    yield pa.record_batch({"print": pa.array(prints, pa.int64()), "doc_id": batch["doc_id"].take(pick), "mark": batch["mark"].take(pick), "place": pa.array(places, pa.int64()), "windows": pa.array(windows, pa.list_(pa.int64()))})
-
-    return docs.mapInArrow(find, "print long, doc_id long, mark long, place long, windows array<long>")
-
-
-def repeated_lines(docs: DataFrame, run: int, least_words: int, long_words: int) -> DataFrame:
+                _, h, count, cut, _ = _lines(texts)
+                begin, size = _windows(count, cut, run, least_words, long_words, by_run)
+                if not len(begin):
+                    continue
+                if len(h) > len(power):
+                    power, inverse = _powers(_BASE, 2 * len(h)), _powers(pow(_BASE, -1, 2**64), 2 * len(h))
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)], dtype=np.uint64)])
+                key = mix((sums[begin + size] - sums[begin]) * inverse[begin] + size.astype(np.uint64) * _K[2]).view(np.int64)
+                order, chosen = mix(h), begin.copy()
+                least = order[begin]
+                for j in range(1, int(size.max())):
+                    open_ = np.flatnonzero(size > j)
+                    here = order[begin[open_] + j]
+                    lower = here <= least[open_]
+                    least[open_[lower]], chosen[open_[lower]] = here[lower], begin[open_[lower]] + j
+                by = np.argsort(chosen, kind="stable")
+                begin, size, key, chosen = begin[by], size[by], key[by], chosen[by]
+                edge = np.flatnonzero(np.diff(chosen, prepend=-1))
+                own = np.searchsorted(cut, chosen[edge], "right") - 1
+                start = begin - cut[np.searchsorted(cut, begin, "right") - 1]
+                pick = pa.array(first + own, pa.int64())
+                items = pa.StructArray.from_arrays([pa.array(key, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int32())], ["key", "start", "size"])
+                yield pa.record_batch({"print": pa.array(h[chosen[edge]].view(np.int64)), "doc_id": batch["doc_id"].take(pick), "mark": batch["mark"].take(pick), "windows": pa.ListArray.from_arrays(pa.array(np.append(edge, len(chosen)), pa.int32()), items)})
+
+    return docs.mapInArrow(find, "print long, doc_id long, mark long, windows array<struct<key:long,start:long,size:int>>")
+
+
+def repeated_lines(docs: DataFrame, run: int, least_words: int, long_words: int, by_run: bool = False) -> DataFrame:
     """doc_id, mark, lines: the places, among a document's lines with words, of those that go."""
-    prints = stored(_fingerprints(docs, run, least_words, long_words), "prints")
+    prints = stored(_fingerprints(docs, run, least_words, long_words, by_run), "prints")
     often = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    joined_up = prints.join(often, "print")
-    keys = joined_up.select("print", "doc_id", "mark", "place", F.posexplode("windows").alias("shift", "window")).where("window is not null")
-    keys = keys.select("print", "shift", "window", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", F.when(F.col("shift") == run, F.col("place")).otherwise(F.col("place") - (run - 1) + F.col("shift")).alias("start"), F.when(F.col("shift") == run, 1).otherwise(run).alias("size")).alias("at"))
+    keys = prints.join(often, "print").select("print", "doc_id", "mark", F.explode("windows").alias("w"))
+    keys = keys.select("print", F.col("w.key").alias("window"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "w.start", "w.size").alias("at"))
     keys = stored(keys, "windows")
     # repeated rows are one place, so places are counted by their ends
-    firsts = keys.groupBy("print", "shift", "window").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").drop("last")
-    later = keys.join(firsts, ["print", "shift", "window"]).where("at <> first")
+    firsts = keys.groupBy("print", "window").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").drop("last")
+    later = keys.join(firsts, ["print", "window"]).where("at <> first")
     runs = later.select("at.doc_id", "at.mark", "at.start", "at.size").distinct()
     return runs.groupBy("doc_id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("size") - 1))))).alias("lines"))
 
 
-def line_dedup(docs: DataFrame, run: int = 2, least_words: int = 20, long_words: int = 50) -> DataFrame:
+def line_dedup(docs: DataFrame, run: int = 2, least_words: int = 20, long_words: int = 50, by_run: bool = False) -> DataFrame:
     """One row per document: doc_id, text (what is left), n_lines (with words), removed (ranges of line numbers), n_removed."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    gone = repeated_lines(rows, run, least_words, long_words).select(F.col("doc_id").alias("i"), F.col("mark").alias("m"), "lines")
+    gone = repeated_lines(rows, run, least_words, long_words, by_run).select(F.col("doc_id").alias("i"), F.col("mark").alias("m"), "lines")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
