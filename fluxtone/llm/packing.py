@@ -17,6 +17,7 @@ input's files. Only doc_id and text are read, other columns may have any name.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,23 +36,33 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: tiktoken's stack gives out within blank runs of some 500,000 characters; texts with runs of this length are not given to it.
+LONG_BLANK = re.compile(r"\s{10000}")
+
+
+@lru_cache(maxsize=2)
+def _whole(path: str):
+    """A function from a text to its ids as the tokenizers library gives them; special tokens' strings count as ordinary text."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    return lambda text: whole.encode(text, add_special_tokens=False).ids
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str):
     """A function from a text to its ids; special tokens' strings count as ordinary text.
 
     The vocabulary in the JSON file is given to tiktoken, which cuts and merges as the file says and takes a
-    sixth of the time.
+    sixth of the time. Texts that it can't do, those with a very long blank run, go to the tokenizers library.
     """
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
     if file["model"]["type"] != "BPE" or (file.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or file.get("normalizer"):
-        from tokenizers import Tokenizer
-
-        whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
-        return lambda text: whole.encode(text, add_special_tokens=False).ids
+        return _whole(path)
     import public_tokenizers
 
     # byte-level files write each byte as one printable character: itself, or the next one from 256 on
@@ -59,7 +70,8 @@ def _encoder(path: str):
     letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     special = {x["content"] for x in file.get("added_tokens", [])}
     ranks = {bytes(letters[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda text: _whole(path)(text) if LONG_BLANK.search(text) else fast(text)
 
 
 def encode(text: str, path: str) -> list[int]:
