@@ -40,29 +40,30 @@ def default_vocabulary() -> str:
 LONG_BLANK = re.compile(r"\s{10000}")
 
 
-@lru_cache(maxsize=2)
-def _whole(path: str):
-    """A function from a text to its ids as the tokenizers library gives them; special tokens' strings count as ordinary text."""
+@lru_cache(maxsize=4)
+def _whole(path: str, added: bool):
+    """A function from a text to its ids as the tokenizers library gives them."""
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+    whole.encode_special_tokens = not added
     return lambda text: whole.encode(text, add_special_tokens=False).ids
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str):
-    """A function from a text to its ids; special tokens' strings count as ordinary text.
+@lru_cache(maxsize=4)
+def _encoder(path: str, added: bool):
+    """A function from a text to its ids; strings of added tokens get those tokens' ids, or count as ordinary text.
 
     The vocabulary in the JSON file is given to tiktoken, which cuts and merges as the file says and takes a
-    sixth of the time. Texts that it can't do, those with a very long blank run, go to the tokenizers library.
+    sixth of the time. Texts that it can't do, those with a very long blank run or the string of an added token,
+    go to the tokenizers library.
     """
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
     if file["model"]["type"] != "BPE" or (file.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or file.get("normalizer"):
-        return _whole(path)
+        return _whole(path, added)
     import public_tokenizers
 
     # byte-level files write each byte as one printable character: itself, or the next one from 256 on
@@ -71,14 +72,15 @@ def _encoder(path: str):
     special = {x["content"] for x in file.get("added_tokens", [])}
     ranks = {bytes(letters[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda text: _whole(path)(text) if LONG_BLANK.search(text) else fast(text)
+    hard = special if added else set()
+    return lambda text: _whole(path, added)(text) if any(x in text for x in hard) or LONG_BLANK.search(text) else fast(text)
 
 
-def encode(text: str, path: str) -> list[int]:
-    return _encoder(path)(text)
+def encode(text: str, path: str, added: bool = False) -> list[int]:
+    return _encoder(path, added)(text)
 
 
-def _tokens(docs: DataFrame, path: str, end: int) -> DataFrame:
+def _tokens(docs: DataFrame, path: str, end: int, added: bool) -> DataFrame:
     """doc_id, ids (little-endian 16- or 32-bit), wide, n, task, ahead: ids before it in its task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -88,7 +90,7 @@ def _tokens(docs: DataFrame, path: str, end: int) -> DataFrame:
             for first, texts in parts(batch["text"], 1 << 20):
                 ids, n, wide, ahead = [], [], [], []
                 for x in texts:
-                    found = np.array([*encode((x or b"").decode("utf-8", "replace"), path), end], dtype=np.uint32)
+                    found = np.array([*encode((x or b"").decode("utf-8", "replace"), path, added), end], dtype=np.uint32)
                     big = bool(found.max() > 0xFFFF)
                     ids.append(found.tobytes() if big else found.astype(np.uint16).tobytes())
                     wide.append(big)
@@ -126,10 +128,13 @@ def windows(start: int, n: int, total: int, length: int) -> list[tuple[int, int,
     return out
 
 
-def pack(docs: DataFrame, length: int = 2048, end: int = 1, vocabulary: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset (see the module text)."""
+def pack(docs: DataFrame, length: int = 2048, end: int = 1, vocabulary: str | None = None, added: bool = False) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset (see the module text).
+
+    With ``added``, strings of the vocabulary's added tokens get their ids, as the tokenizers library does by default.
+    """
     small_batches(docs.sparkSession)
-    ids = stored(_tokens(docs, vocabulary or default_vocabulary(), end), "ids")
+    ids = stored(_tokens(docs, vocabulary or default_vocabulary(), end, added), "ids")
     totals = ids.groupBy("task").agg(F.sum("n").alias("tokens"))  # one row a task
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

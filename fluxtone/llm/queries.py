@@ -23,7 +23,7 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pieces(table(spark, sf_dir, "documents"), length=2048, end=1)
+    return packing.pieces(table(spark, sf_dir, "documents"), length=2048, end=1, added=True)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
