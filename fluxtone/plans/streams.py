@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxtone.plans import views
@@ -48,11 +48,15 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("u", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "events")
 
 
+#: Rows of a stream held ahead of their turn; the result doesn't depend on it.
+SLOTS = 100_000
+
+
 @query(f"select stream, seq, round(x, 6) as x, seq as place from (select stream, row_number() over (partition by stream order by seq) - 1 as seq, x from ({SERIES}))")
 def stream_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stream's samples, come in four files by a hash of their numbers, in order again."""
-    rows = views.series(spark, sf_dir).select("stream", (F.row_number().over(Window.partitionBy("stream").orderBy("seq")) - 1).cast("long").alias("seq"), "x")
+    rows = jobs.numbered(views.series(spark, sf_dir).select("stream", "seq", "x"), "number").select("stream", F.col("number").alias("seq"), "x")
     path = f"{jobs.shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
     rows.withColumn("lot", F.pmod(F.xxhash64("seq"), F.lit(4))).repartition(4, "lot").drop("lot").write.parquet(path)
-    out = jobs.finish(jobs.reorder(jobs.read(spark, path, 1), 100_000), "reorder")
+    out = jobs.in_order(jobs.finish(jobs.reorder(jobs.read(spark, path, 1), SLOTS, late=True), "reorder"))
     return out.select("stream", "seq", F.round("x", 6).alias("x"), "place")

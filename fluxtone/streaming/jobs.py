@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -50,30 +50,61 @@ def sessions(stream: DataFrame, key: str, time: str, gap: str, delay: str) -> Da
     return grouped.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "events")
 
 
-def reorder(stream: DataFrame, slots: int = 64) -> DataFrame:
+def reorder(stream: DataFrame, slots: int = 64, late: bool = False) -> DataFrame:
     """stream, seq, x, place: rows of each stream in order of seq from 0, released as soon as their turn has come.
 
     Rows ahead of their turn are held. When more than ``slots`` are, the missing ones are given up and the
     stream goes on with the least one held; rows that come after that are too late and fall away, and so do
     repeats. The state of a stream is its next number, its count, and at most ``slots`` rows from batch to batch.
+
+    With ``late``, rows that are too late and repeats of released ones are appended at once, with place -1, and
+    numbers are given up within a batch too: where all numbers come at some time, no row is lost, and ``in_order``
+    gives all of them their places. What is held behind a number that never comes stays held.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         following, count, numbers, values = state.get if state.exists else (0, 0, [], [])
         held = dict(zip(numbers, values, strict=True))
+        out = []
+
+        def release() -> None:
+            nonlocal following, count
+            ahead = sorted(held, reverse=True)  # the least one last
+            while ahead and (following == ahead[-1] or len(held) > slots):
+                following = ahead.pop()
+                out.append((key[0], following, held.pop(following), count))
+                following, count = following + 1, count + 1
+
         for pdf in batches:
+            if late:
+                out += [(key[0], int(s), float(x), -1) for s, x in zip(pdf["seq"], pdf["x"], strict=True) if s < following]
             held |= {int(s): float(x) for s, x in zip(pdf["seq"], pdf["x"], strict=True) if s >= following}
-        out = []
-        while held and (following in held or len(held) > slots):
-            following = following if following in held else min(held)
-            out.append((key[0], following, held.pop(following), count))
-            following, count = following + 1, count + 1
+            if late:
+                release()
+                yield pd.DataFrame(out, columns=["stream", "seq", "x", "place"])
+                out = []
+        release()
         state.update((following, count, list(held), list(held.values())))
         yield pd.DataFrame(out, columns=["stream", "seq", "x", "place"])
 
     return stream.groupBy("stream").applyInPandasWithState(step, "stream long, seq long, x double, place long", "following long, count long, numbers array<long>, held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def numbered(rows: DataFrame, name: str, width: int = 1 << 16) -> DataFrame:
+    """``rows`` with their numbers from 0 by seq within each stream: prefix sums over blocks of ``width`` of seq, then within blocks."""
+    rows = rows.withColumn("block", F.floor(F.col("seq") / width))
+    before = Window.partitionBy("stream").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("stream", "block").agg(F.count("*").alias("size"))
+    ahead = sizes.select("stream", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("ahead"))
+    within = F.row_number().over(Window.partitionBy("stream", "block").orderBy("seq")) - 1
+    return rows.withColumn("within", within).join(ahead, ["stream", "block"]).withColumn(name, (F.col("ahead") + F.col("within")).cast("long")).drop("block", "ahead", "within")
+
+
+def in_order(appended: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """What ``reorder`` with ``late`` appended, each number once, with places by seq whenever a row came."""
+    return numbered(appended.select("stream", "seq", "x").dropDuplicates(["stream", "seq"]), "place", width)
+
+
 def each_batch(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Hands each batch to ``sink`` with its number. A batch can come twice after a failure, so sinks write by number."""
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
