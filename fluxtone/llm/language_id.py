@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxtone.llm.common import held_out, small_batches
@@ -32,8 +32,10 @@ UNKNOWN = "und"
 WINDOW, LEAD = 60, 4
 #: Windows that advance in step.
 SIDE_BY_SIDE = 2048
-#: Bounds of the training sample: languages, rows of each, and windows of each row.
-MOST_LANGUAGES, ROWS_EACH, WINDOWS_EACH = 64, 400, 3
+#: Bounds of the training sample: distinct texts of each language, and windows of each text.
+ROWS_EACH, WINDOWS_EACH = 400, 3
+#: Up to so many languages training takes ``STEPS`` steps and scoring ``SIDE_BY_SIDE`` windows; with more, in proportion more and less.
+FEW_LANGUAGES = 64
 HIDDEN, STEPS, BATCH, RATE = 8, 300, 192, 0.03
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -145,14 +147,16 @@ def train(texts: list[bytes], labels: list[str], seed: int = 7) -> Network:
     for i, t in enumerate(texts):
         cut = np.frombuffer(t[:span], np.uint8)
         x[i, : len(cut)] = cut
-    x, y = _LOWER[x], np.array([languages.index(v) for v in labels])
+    number = {v: c for c, v in enumerate(languages)}
+    x, y = _LOWER[x], np.array([number[v] for v in labels])
     groups = [np.flatnonzero(y == c) for c in range(len(languages))]
     first = [np.zeros_like(w) for w in net.weights()]
     second = [np.zeros_like(w) for w in net.weights()]
-    for step in range(1, STEPS + 1):
+    steps = STEPS * max(len(languages), FEW_LANGUAGES) // FEW_LANGUAGES
+    for step in range(1, steps + 1):
         pick = np.array([rng.choice(groups[c]) for c in rng.integers(len(languages), size=BATCH)])
         batch = np.ascontiguousarray(x[pick].T)
-        rate = RATE * (1 - step / (STEPS + 1)) ** 0.5
+        rate = RATE * (1 - step / (steps + 1)) ** 0.5
         for w, g, m, v in zip(net.weights(), net.gradients(batch, y[pick], _LETTER[batch].astype(np.float32)), first, second, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -170,9 +174,10 @@ def score_texts(net: Network, texts: list[bytes | None]) -> np.ndarray:
     owner = np.repeat(np.arange(len(texts)), each)
     begin = starts[:-1][owner] + WINDOW * (np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each))
     ahead = np.arange(-LEAD, WINDOW + LEAD)[:, None]
-    for a in range(0, len(owner), SIDE_BY_SIDE):
-        who = owner[a : a + SIDE_BY_SIDE]
-        at = begin[a : a + SIDE_BY_SIDE] + ahead
+    side = max(1, SIDE_BY_SIDE * FEW_LANGUAGES // max(len(net.languages), FEW_LANGUAGES))
+    for a in range(0, len(owner), side):
+        who = owner[a : a + side]
+        at = begin[a : a + side] + ahead
         inside = (at >= starts[who]) & (at < starts[who] + sizes[who])
         x = np.where(inside, buf[np.where(inside, at, 0)], np.uint8(0x20))  # T x B
         own = slice(LEAD, LEAD + WINDOW)
@@ -184,31 +189,53 @@ def score_texts(net: Network, texts: list[bytes | None]) -> np.ndarray:
     return total / np.maximum(count, 1)[:, None]
 
 
+def _chosen(rows: DataFrame) -> list:
+    """lang and limit for every language: texts whose hash is up to it are its ``ROWS_EACH`` least distinct ones."""
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            coded = batch["lang"].dictionary_encode()
+            which, marks = coded.indices.to_numpy(), batch["mark"].to_numpy()
+            by = np.argsort(which, kind="stable")
+            cuts = np.searchsorted(which[by], np.arange(len(coded.dictionary) + 1))
+            for lang, a, b in zip(coded.dictionary.to_pylist(), cuts, cuts[1:], strict=False):
+                held[lang] = np.unique(np.concatenate([held.get(lang, marks[:0]), marks[by[a:b]]]))[:ROWS_EACH]
+        for lang, marks in held.items():
+            yield pa.record_batch({"lang": pa.array([lang] * len(marks), pa.string()), "mark": pa.array(marks, pa.int64())})
+
+    found = rows.select("lang", "mark").mapInArrow(least, "lang string, mark long").distinct()
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
+    return found.withColumn("k", order).where(F.col("k") <= ROWS_EACH).groupBy("lang").agg(F.max("mark").alias("limit")).collect()  # a row a language
+
+
 def fit(docs: DataFrame) -> Network:
-    """The network for the languages of the rows that are not held out."""
+    """The network for all the languages of the rows that are not held out."""
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not found:
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("mark"))
+    limits = {r.lang: r.limit for r in _chosen(rows)}
+    if not limits:
         return Network.start([])
-    mark = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000.0
-    share = F.lit(0.0)
-    for r in found:
-        share = F.when(F.col("lang") == r.lang, F.lit(1.5 * ROWS_EACH / r["count"] + 1e-5)).otherwise(share)
     span = WINDOW + 2 * LEAD
+    spark = docs.sparkSession
+    known = F.broadcast(spark.createDataFrame(list(limits.items()), "lang string, limit long"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # of at most ROWS_EACH texts of each language
         for batch in batches:
             out = []
-            for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
-                raw = text.encode()
-                starts = sorted({len(raw) * k // WINDOWS_EACH for k in range(WINDOWS_EACH)} if len(raw) > WINDOWS_EACH * span else {0})
-                out += [(raw[s : s + span], lang) for s in starts]
+            for lang, text, mark in zip(*(batch[c].to_pylist() for c in ("lang", "text", "mark")), strict=True):
+                if (lang, mark) not in seen:
+                    seen.add((lang, mark))
+                    raw = text.encode()
+                    starts = sorted({len(raw) * k // WINDOWS_EACH for k in range(WINDOWS_EACH)} if len(raw) > WINDOWS_EACH * span else {0})
+                    out.append((lang, mark, [raw[s : s + span] for s in starts]))
             if out:
-                yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], names=["cut", "lang"])
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.list_(pa.binary())), strict=True)], names=["lang", "mark", "cuts"])
 
-    sample = rows.where(mark < share).select("text", "lang").mapInArrow(cut, "cut binary, lang string")
-    most = ROWS_EACH * WINDOWS_EACH * 2 * len(found)
-    got = sample.limit(most).toPandas().sort_values(["lang", "cut"])
+    sample = rows.join(known, "lang").where("mark <= limit").select("lang", "text", "mark").mapInArrow(cut, "lang string, mark long, cuts array<binary>")
+    sample = sample.groupBy("lang", "mark").agg(F.min("cuts").alias("cuts")).select("lang", F.explode("cuts").alias("cut"))
+    got = sample.toPandas().sort_values(["lang", "cut"])
     return train(got["cut"].tolist(), got["lang"].tolist())
 
 
@@ -244,9 +271,15 @@ def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.5, net: Network | None = None) -> DataFrame:
-    """The rows of ``docs`` in a language that is known with a score of ``least`` or more, with all their columns."""
+    """The rows of ``docs`` in a language that is known with a score of ``least`` or more, with all their columns.
+
+    Where no language was learned, those with a letter.
+    """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(net or fit(docs))
+    net = net or fit(docs)
+    if not net.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
