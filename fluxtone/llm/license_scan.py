@@ -18,6 +18,7 @@ read, other columns may have any name.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,30 @@ GRAM, WINDOW = 3, 2
 BAND = 4
 LEAST = 0.8
 
+_MIT_DISCLAIMER = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS "
+    "IN THE SOFTWARE."
+)
+_BSD_TWO = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+)
+_BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+    "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
 # Public license notices, as they are commonly written.
 TEMPLATES = {
     "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
@@ -54,21 +79,57 @@ TEMPLATES = {
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
         'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
         "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+        " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
-    "BSD text": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
-        "and/or other materials provided with the distribution."
-    ),
+    "BSD text": _BSD_TWO + _BSD_DISCLAIMER,
+    "BSD-3-Clause text": _BSD_TWO + _BSD_THIRD + _BSD_DISCLAIMER,
     "GPL header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY "
-        "or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+        "or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+    ),
+    "LGPL header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. "
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY "
+        "or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. "
+        "You should have received a copy of the GNU Lesser General Public License along with this library; if not, see <https://www.gnu.org/licenses/>."
+    ),
+    "AGPL header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY "
+        "or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. "
+        "You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+    ),
+    "ISC text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        "copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR "
+        "IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "Unlicense text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+        "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to "
+        "the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this "
+        "dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."
     ),
+    "MIT disclaimer": _MIT_DISCLAIMER,
+    "BSD disclaimer": _BSD_DISCLAIMER,
 }
 
+
+
+def whole_texts() -> dict[str, str]:
+    """Whole long licenses, from the files beside this module. Only the driver reads them."""
+    return {f"{x.stem} text": x.read_text(encoding="utf-8") for x in sorted(Path(__file__).with_name("licenses").glob("*.txt"))}
+
+
 #: Everything in ASCII but letters and digits parts words; a line feed between texts does so too.
 _BLANK = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 
@@ -116,26 +177,46 @@ class Index:
 
 def align(template: np.ndarray, doc: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
     """Best local alignment with j - i within ``band`` of ``diagonal``: matched words, first and last matched place in doc."""
-    t, d = template.tolist(), doc.tolist()
-    best, above = (0, 0, -1, -1), {}
-    for i, word in enumerate(t):
-        row = {}
-        for j in range(max(0, i + diagonal - band), min(len(d), i + diagonal + band + 1)):
-            score, matched, first, last = above.get(j - 1, (0, 0, -1, -1))
-            if word == d[j]:
-                cell = (score + 2, matched + 1, first if first >= 0 else j, j)
-            else:
-                cell = (score - 1, matched, first, last)
-            for other in (above.get(j), row.get(j - 1)):
-                if other and other[0] - 1 > cell[0]:
-                    cell = (other[0] - 1, *other[1:])
-            row[j] = cell if cell[0] > 0 else (0, 0, -1, -1)
-            if row[j][0] > best[0]:
-                best = row[j]
-        above = row
+    n, width = len(template), 2 * band + 1
+    # column c of row i is place i + diagonal - band + c; places outside of doc match nothing and score nothing
+    at = np.arange(n + width) + diagonal - band
+    inside = (at >= 0) & (at < len(doc))
+    around = np.zeros(n + width, np.uint64)
+    around[inside] = doc[at[inside]]
+    column, big = np.arange(width), 2 * width
+    score, matched, first, last = np.zeros(width, np.int64), np.zeros(width, np.int64), np.full(width, -1), np.full(width, -1)
+    best = (0, 0, -1, -1)
+    for i in range(n):
+        place = at[i : i + width]
+        same = (around[i : i + width] == template[i]) & inside[i : i + width]
+        base = np.where(same, score + 2, score - 1)
+        m, f, e = matched + same, np.where(same & (first < 0), place, first), np.where(same, place, last)
+        up = np.flatnonzero(score[1:] - 1 > base[:-1])  # a word of the template left out
+        base[up], m[up], f[up], e[up] = score[up + 1] - 1, matched[up + 1], first[up + 1], last[up + 1]
+        none = base <= 0
+        base[none] = 0
+        m[none], f[none], e[none] = 0, -1, -1
+        # words of the document left out: the best column at or before each, the last of equal ones
+        run = np.maximum.accumulate((base + column) * big + column)
+        origin = run % big
+        score, matched, first, last = base[origin] - (column - origin), m[origin], f[origin], e[origin]
+        none = score <= 0
+        if none.any():
+            score[none], matched[none], first[none], last[none] = 0, 0, -1, -1
+        top = int(score.argmax())
+        if score[top] > best[0]:
+            best = (int(score[top]), int(matched[top]), int(first[top]), int(last[top]))
     return best[1:]
 
 
+def most_matched(template: np.ndarray, doc: np.ndarray) -> int:
+    """No alignment matches more words than the two have in common, each as often as both have it."""
+    x, n = np.unique(template, return_counts=True)
+    y, k = np.unique(doc, return_counts=True)
+    _, a, b = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[a], k[b]).sum())
+
+
 def scan_text(index: Index, h: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, float, int, int]]:
     """(template, coverage, first word, last word) of every match; h: the text's words, found: its hits."""
     out = []
@@ -153,6 +234,8 @@ def scan_text(index: Index, h: np.ndarray, found: tuple[np.ndarray, np.ndarray,
             for diagonal in [(low + high) // 2] if high - low <= band else range(low, high + 1, band):
                 a = max(0, diagonal - band)
                 part = h[a : diagonal + len(template) + band]
+                if len(part) < LEAST * len(template) or most_matched(template, part) < LEAST * len(template):
+                    continue
                 matched, first, last = align(template, part, diagonal - a, band)
                 if matched >= LEAST * len(template):
                     spans.append((matched / len(template), a + first, a + last))
@@ -170,7 +253,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None) -> Da
     A span has start and stop (code points of the text, stop exclusive) and coverage.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(Index(templates or TEMPLATES))
+    shared = docs.sparkSession.sparkContext.broadcast(Index(templates or TEMPLATES | whole_texts()))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("coverage", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
