@@ -7,7 +7,6 @@ document that the mix takes twice has two rows from then on.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fluxtone.llm import exact_dedup, language_id, mixing, ngram_join, packing
 from fluxtone.llm.common import stored, table
@@ -26,11 +25,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one that gives the group its name, the smallest doc_id."""
-    found = ngram_join.ngram_jaccard_join(docs, k=5, percent=80)
-    drop = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    if drop.count() <= ngram_join.BROADCAST_IDS:  # else whole rows are shuffled
-        drop = F.broadcast(drop)
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    return ngram_join.drop_near_copies(docs, k=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
