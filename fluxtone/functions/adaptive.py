@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fluxtone.functions.bits import clip16
+from fluxtone.functions.bits import clip16, le, pack_codes, to_be, to_le, u8, unpack_codes, wrap16
 from fluxtone.functions.filters import scan
 
 # Step sizes and step changes of the IMA scheme, and of the G.726-like one.
@@ -70,8 +70,21 @@ def ima_pack(codes: Column) -> Column:
     return F.when(F.size(codes) % 2 == 1, F.concat(digits, F.lit("0"))).otherwise(digits)
 
 
-def g726_encode(v: Column, bits: int = 4) -> Column:
+def ima_stream(v: Column, start: tuple[Column, Column] | None = None) -> Column:
+    """Bytes of a frame: the state before it (value, low byte first, and step index, a byte of 0), then its codes, two a byte."""
+    value, index = start or (F.lit(0), F.lit(0))
+    return F.concat(to_le(value.cast("long"), 2), to_be(index.cast("long"), 1), F.lit(b"\x00"), pack_codes(ima_encode(v, start), 4))
+
+
+def ima_from_stream(b: Column) -> Column:
+    """Samples of such bytes, two for each byte of codes; null where the four bytes of the state are not there."""
+    start = (wrap16(le(b, 0, 2)).cast("int"), _index(u8(b, 2).cast("int")))
+    return F.when(F.octet_length(b) >= 4, ima_decode(unpack_codes(F.substring(b, F.lit(5), F.octet_length(b)), 4), start))
+
+
+def g726_encode(v: Column, bits: int = 4, start: tuple[Column, Column] | None = None) -> Column:
     half = 1 << (bits - 1)
+    first, index = start or (F.lit(0), F.lit(0))
 
     def step(s, x):
         size = _pick(STEPS, s["index"])
@@ -80,11 +93,12 @@ def g726_encode(v: Column, bits: int = 4) -> Column:
         back = size * level + F.floor(size / 2).cast("int")
         return {"value": clip16(s["value"] + F.when(diff < 0, -F.floor(back / 2)).otherwise(F.floor(back / 2)).cast("int")), "index": _index(s["index"] + _pick(G726_CHANGE, F.least(level, F.lit(7)))), "code": F.when(diff < 0, half - 1 - level).otherwise(half + level)}
 
-    return scan(v, {"value": F.lit(0), "index": F.lit(0), "code": F.lit(0)}, step, "code", "int")
+    return scan(v, {"value": first.cast("int"), "index": index.cast("int"), "code": F.lit(0)}, step, "code", "int")
 
 
-def g726_decode(codes: Column, bits: int = 4) -> Column:
+def g726_decode(codes: Column, bits: int = 4, start: tuple[Column, Column] | None = None) -> Column:
     half = 1 << (bits - 1)
+    first, index = start or (F.lit(0), F.lit(0))
 
     def step(s, code):
         size = _pick(STEPS, s["index"])
@@ -92,7 +106,16 @@ def g726_decode(codes: Column, bits: int = 4) -> Column:
         back = F.floor((size * level + F.floor(size / 2)) / 2).cast("int")
         return {"value": clip16(s["value"] + F.when(code < half, -back).otherwise(back)), "index": _index(s["index"] + _pick(G726_CHANGE, F.least(level, F.lit(7))))}
 
-    return scan(codes, {"value": F.lit(0), "index": F.lit(0)}, step, "value", "int")
+    return scan(codes, {"value": first.cast("int"), "index": index.cast("int")}, step, "value", "int")
+
+
+def g726_stream(v: Column, bits: int = 4, start: tuple[Column, Column] | None = None) -> Column:
+    """Bytes of a frame's codes, the high bit first."""
+    return pack_codes(g726_encode(v, bits, start), bits)
+
+
+def g726_from_stream(b: Column, bits: int = 4, start: tuple[Column, Column] | None = None) -> Column:
+    return g726_decode(unpack_codes(b, bits), bits, start)
 
 
 def _band(s: Column, name: str, code: Column, bits: int) -> dict[str, Column]:

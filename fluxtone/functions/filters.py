@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fluxtone.functions.bits import let
+
 
 @dataclass(frozen=True)
 class Biquad:
@@ -42,15 +44,32 @@ class Biquad:
         return cls(b0 / a0, b1 / a0, b2 / a0, a1 / a0, a2 / a0)
 
 
+#: Values that a fold appends to one array; appending copies an array, so a long one is made of parts.
+PART = 256
+
+
 def scan(x: Column, start: dict[str, Column], step: Callable[[Column, Column], dict[str, Column]], out: str, kind: str = "double") -> Column:
-    """Fold over an array that keeps every value of the state field ``out``."""
-    empty = F.struct(F.array().cast(f"array<{kind}>").alias("out"), *[v.alias(k) for k, v in start.items()])
+    """Fold over an array that keeps every value of the state field ``out``.
+
+    A fold over parts of ``PART`` values holds a fold within each part, and moves a part's values to the whole when the
+    next part begins.
+    """
+    none = F.array().cast(f"array<{kind}>").alias("out")
+    first = F.struct(F.array().cast(f"array<array<{kind}>>").alias("parts"), F.struct(none, *[v.alias(k) for k, v in start.items()]).alias("now"))
 
     def merge(state: Column, s: Column) -> Column:
         new = step(state, s)
         return F.struct(F.array_append(state["out"], new[out].cast(kind)).alias("out"), *[new[k].alias(k) for k in start])
 
-    return F.aggregate(x, empty, merge, lambda state: state["out"])
+    def whole(x: Column) -> Column:
+        def part(state: Column, at: Column) -> Column:
+            now = F.aggregate(F.slice(x, at + 1, F.lit(PART)), F.struct(none, *[state["now"][k].alias(k) for k in start]), merge)
+            return F.struct(F.array_append(state["parts"], state["now"]["out"]).alias("parts"), now.alias("now"))
+
+        places = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1, F.lit(PART))).otherwise(F.array().cast("array<int>"))
+        return F.when(x.isNotNull(), F.aggregate(places, first, part, lambda state: F.flatten(F.array_append(state["parts"], state["now"]["out"]))))
+
+    return let(x, whole)
 
 
 def zero() -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fluxtone.functions.bits import be, field, le, to_be, to_le, u8
+from fluxtone.functions.bits import be, bits_at, bits_of, field, from_bits, le, let, to_be, to_bits, to_le, u8
 
 # Sampling rates by index, and rates in thousands of bits a second by index.
 AAC_RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
@@ -55,6 +55,12 @@ def mp3(b: Column) -> Column:
     return F.when((F.octet_length(b) >= 4) & (field(h, 21, 11) == 0x7FF) & (version != 1) & (rate < 3) & (bitrate < 15), found)
 
 
+def sync_places(b: Column) -> Column:
+    """Places of MPEG sync words (eleven set bits), as an array: what lies between them makes no rows."""
+    places = lambda b: F.when(F.octet_length(b) > 1, F.sequence(F.lit(0), F.octet_length(b) - 2)).otherwise(F.array().cast("array<int>"))
+    return let(b, lambda b: F.filter(places(b), lambda at: F.substring(F.hex(F.substring(b, at + 1, F.lit(2))), 1, 3).isin("FFE", "FFF")))
+
+
 def audio_config(b: Column) -> Column:
     """struct of an AAC configuration: object type, rate (24 bits of its own where the index is 15), channels."""
     wide = F.rpad(F.hex(b), 14, "0")
@@ -68,12 +74,70 @@ def audio_config(b: Column) -> Column:
 
 
 def write_audio_config(object_type: Column, rate: Column, channels: Column) -> Column:
-    index = F.coalesce(*[F.when(rate == r, i) for i, r in enumerate(AAC_RATES)], F.lit(15)).cast("long")
+    index = rate_index(rate)
     head = object_type.cast("long") * 16 + index
     short = to_be((head * 16 + channels.cast("long")) * 8, 2)
     return F.when(index < 15, short).otherwise(to_be(((head * (1 << 24) + rate.cast("long")) * 16 + channels.cast("long")) * 8, 5))
 
 
+def rate_index(rate: Column) -> Column:
+    """Index of a sampling rate; 15 for one that has none."""
+    return F.coalesce(*[F.when(rate == r, i) for i, r in enumerate(AAC_RATES)], F.lit(15)).cast("long")
+
+
+def write_extended_config(object_type: Column, rate: Column, channels: Column, extension: Column, extension_rate: Column, ps: Column) -> Column:
+    """A configuration with an extension: 5 for a band replication at ``extension_rate`` and its parametric stereo, 29 for that alone, 0 for none."""
+    number = lambda r: F.concat(to_bits(rate_index(r), 4), F.when(rate_index(r) == 15, to_bits(r, 24)).otherwise(""))
+    more = F.when(extension == 5, F.concat(F.lit("001011"), number(extension_rate), ps.cast("int").cast("string"))).when(extension == 29, F.concat(F.lit("11101"), ps.cast("int").cast("string"))).otherwise("")
+    return from_bits(F.concat(to_bits(object_type, 5), number(rate), to_bits(channels, 4), F.lit("00"), (extension > 0).cast("int").cast("string"), more))
+
+
+def config_extension(b: Column) -> Column:
+    """struct<extension, sbr, rate, ps> after a configuration's 16 bits, 24 of an own rate, and 14 of a core coder's delay; null without one."""
+    digits = bits_of(b)
+    base = F.when(bits_at(digits, 5, 4) == 15, 24).otherwise(0)
+    at = base + 16 + F.when(bits_at(digits, base + 14, 1) == 1, 14).otherwise(0)
+    kind, sbr = bits_at(digits, at, 5), bits_at(digits, at + 5, 1) == 1
+    index = bits_at(digits, at + 6, 4)
+    own = index == 15
+    rate = F.when(own, bits_at(digits, at + 10, 24)).otherwise(_pick(AAC_RATES, index).cast("long"))
+    ps = F.when(kind == 29, bits_at(digits, at + 5, 1) == 1).when((kind == 5) & sbr, bits_at(digits, at + F.when(own, 34).otherwise(10), 1) == 1)
+    found = F.struct(kind.alias("extension"), F.when(kind == 5, sbr).alias("sbr"), F.when((kind == 5) & sbr, rate).alias("rate"), F.coalesce(ps, F.lit(False)).alias("ps"))
+    return F.when((bits_at(digits, base + 15, 1) == 1) & kind.isNotNull(), found)
+
+
+def config_from_adts(b: Column) -> Column:
+    """The configuration that an ADTS header stands for; its profile counts from 1 already."""
+    h = adts(b)
+    return write_audio_config(h["profile"], h["rate"], h["channels"])
+
+
+def adts_from_config(b: Column, payload_size: Column) -> Column:
+    """An ADTS header for a frame of a low-complexity configuration; null for other object types and for rates without an index."""
+    c = audio_config(b)
+    return F.when((c["object_type"] == 2) & (c["rate_index"] < 15), adts_header(c["rate_index"], c["channels"], payload_size))
+
+
+def write_vorbis_comments(vendor: Column, comments: Column) -> Column:
+    """The second header: vendor, then a list of texts, each after its length."""
+    text = lambda s: F.concat(to_le(F.octet_length(s).cast("long"), 4), F.encode(s, "utf-8"))
+    listed = F.unhex(F.array_join(F.transform(comments, lambda c: F.hex(text(c))), ""))
+    return F.concat(F.lit(b"\x03vorbis"), text(vendor), to_le(F.size(comments).cast("long"), 4), listed, F.lit(b"\x01"))
+
+
+def vorbis_comments(b: Column) -> Column:
+    """struct<vendor, comments, size> of a second header, ``size`` with its last mark; null without its first mark, or where a length is more than there is."""
+    length = lambda at: sum((u8(b, at + i) * (1 << (8 * i)) for i in range(4)), F.lit(0).cast("long")).cast("int")
+    text = lambda at, size: F.decode(F.substring(b, at + 1, size), "utf-8")
+    vendor = length(F.lit(7))
+    count = length(vendor + 11)
+    start = F.struct((vendor + 15).alias("at"), F.array().cast("array<string>").alias("out"))
+    turns = F.when((count > 0) & (count <= F.octet_length(b)), F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+    read = F.aggregate(turns, start, lambda s, _: F.struct((s["at"] + 4 + length(s["at"])).alias("at"), F.array_append(s["out"], text(s["at"] + 4, length(s["at"]))).alias("out")))
+    found = F.struct(text(F.lit(11), vendor).alias("vendor"), read["out"].alias("comments"), (read["at"] + 1).alias("size"))
+    return F.when((F.substring(b, F.lit(1), F.lit(7)) == F.lit(b"\x03vorbis")) & (read["at"] < F.octet_length(b)), found)
+
+
 def flac_info(b: Column) -> Column:
     """struct of a 34-byte stream information block."""
     raw = be(b, 10, 7)
@@ -137,14 +201,13 @@ def opus_frame_size(mode: Column) -> Column:
     return F.when(mode.between(0, 2), 120).when(mode.between(3, 4), 240).when(mode.between(5, 6), 480).otherwise(960)
 
 
-def chip_add(b: Column, chip: str) -> Column:
-    """A vendor's header before the payload."""
+def chip_add(b: Column, chip: str | Column) -> Column:
+    """A vendor's header before the payload; Hisilicon's for any other name and for null."""
+    chip = F.lit(chip) if isinstance(chip, str) else chip
     half = F.floor(F.octet_length(b) / 2).cast("long")
-    if chip == "hisilicon":
-        return F.concat(F.lit(b"\x00\x01"), to_be(half % 256, 1), F.lit(b"\x00"), b)
-    if chip == "dahua":
-        return F.concat(F.lit(b"\x00\x01\x01\x00"), to_le(F.octet_length(b).cast("long") % 65536, 2), b)
-    return F.concat(F.lit(b"\x24\x01\x00\x00"), b)
+    dahua = F.concat(F.lit(b"\x00\x01\x01\x00"), to_le(F.octet_length(b).cast("long") % 65536, 2))
+    hisilicon = F.concat(F.lit(b"\x00\x01"), to_be(half % 256, 1), F.lit(b"\x00"))
+    return F.concat(F.when(chip == "dahua", dahua).when(chip == "uniview", F.lit(b"\x24\x01\x00\x00")).otherwise(hisilicon), b)
 
 
 def chip_trim(b: Column) -> Column:

@@ -91,3 +91,23 @@ def resample_linear(v: Column, rate_in: int, rate_out: int) -> Column:
         return F.when(i + 1 >= n, 0).otherwise((F.get(v, i) * (1 - f) + F.get(v, i + 1) * f).cast("int"))
 
     return F.when(count < 1, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), at))
+
+
+def audio_format(rate: Column, channels: Column, bits: Column, samples: Column) -> Column:
+    """What is said of a stream's samples: rate, channels, bits of a sample, and samples of a frame."""
+    return F.struct(rate.cast("int").alias("rate"), channels.cast("int").alias("channels"), bits.cast("int").alias("bits"), samples.cast("int").alias("samples"))
+
+
+def declare(known: Column, **changes: int | Column) -> Column:
+    """The format with other values: only what is said of the samples changes, they pass as they are."""
+    for name, value in changes.items():
+        known = known.withField(name, value if isinstance(value, Column) else F.lit(value))
+    return known
+
+
+def byte_rate(known: Column) -> Column:
+    return F.floor(known["rate"] * known["channels"] * known["bits"] / 8).cast("int")
+
+
+def bytes_per_frame(known: Column) -> Column:
+    return (known["samples"] * known["channels"] * F.floor(known["bits"] / 8)).cast("int")

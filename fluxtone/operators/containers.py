@@ -8,15 +8,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxtone.functions.bits import be, to_be, to_le
+from fluxtone.functions.bits import be, joined, to_be, to_le
 from fluxtone.functions.headers import wav_header, wav_info
 
 
 def cut_frames(rows: DataFrame, start: Column, size: Column, total: Column) -> DataFrame:
     """id, k, payload: whole frames of ``size`` bytes from byte ``start`` of ``b``, ``total`` bytes in all; a rest is dropped."""
     spans = rows.select("id", "b", start.cast("int").alias("start"), size.cast("int").alias("size"), F.floor(total / size).cast("int").alias("frames")).where("frames > 0")
-    each = spans.select("id", "b", "start", "size", F.explode(F.sequence(F.lit(0), F.col("frames") - 1)).alias("k"))
-    return each.select("id", "k", F.substring("b", F.col("start") + F.col("k") * F.col("size") + 1, F.col("size")).alias("payload"))
+    # frames are cut before rows multiply, so that no row carries more than its own
+    cut = F.transform(F.sequence(F.lit(0), F.col("frames") - 1), lambda k: F.struct(k.alias("k"), F.substring("b", F.col("start") + k * F.col("size") + 1, F.col("size")).alias("payload")))
+    return spans.select("id", F.explode(cut).alias("f")).select("id", "f.*")
 
 
 def wav_frames(files: DataFrame) -> DataFrame:
@@ -39,25 +40,29 @@ def lacing(size: Column) -> Column:
     return F.concat(F.unhex(F.repeat(F.lit("FF"), F.floor(size / 255).cast("int"))), to_be((size % 255).cast("long"), 1))
 
 
+def ogg_page(flags: Column, granule: Column, stream: Column, number: Column, table: Column, body: Column) -> Column:
+    """A page; its checksum is that of the page with zeros in its place."""
+    head = F.concat(F.lit(b"OggS\x00"), to_be(flags.cast("long"), 1), to_le(granule.cast("long"), 8), to_le(stream.cast("long"), 4), to_le(number.cast("long"), 4))
+    tail = F.concat(to_be(F.octet_length(table).cast("long"), 1), table, body)
+    return F.concat(head, to_le(F.crc32(F.concat(head, F.lit(b"\x00\x00\x00\x00"), tail)), 4), tail)
+
+
 def ogg_pages(packets: DataFrame, granule_step: int = 960) -> DataFrame:
     """stream, seq, granule, page of (stream, seq, b): a page for each packet of at most 255 segments, larger ones on several.
 
-    The first page of a stream begins it, the last one ends it; a page's checksum is that of the page with zeros
-    in its place.
+    The first page of a stream begins it, the last one ends it.
     """
     room = 255 * 255
-    cut = packets.select("stream", "seq", "b", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("b") / room).cast("int"))).alias("part"))
+    parts = F.floor(F.octet_length("b") / room).cast("int")
+    bodies = F.transform(F.sequence(F.lit(0), parts), lambda k: F.struct(k.alias("part"), F.substring("b", k * room + 1, F.lit(room)).alias("body"), (k == parts).alias("last")))
+    cut = packets.select("stream", "seq", F.explode(bodies).alias("p")).select("stream", "seq", "p.*")
     order, whole = Window.partitionBy("stream").orderBy("seq", "part"), Window.partitionBy("stream")
     cut = cut.withColumn("number", F.row_number().over(order) - 1).withColumn("pages", F.count("*").over(whole)).withColumn("packet", F.dense_rank().over(Window.partitionBy("stream").orderBy("seq")))
-    body = F.substring("b", F.col("part") * room + 1, F.lit(room))
-    last = F.col("part") == F.floor(F.octet_length("b") / room)
+    body, last = F.col("body"), F.col("last")
     table = F.when(last, lacing(F.octet_length(body))).otherwise(F.unhex(F.repeat(F.lit("FF"), F.lit(255))))
     flags = (F.col("part") > 0).cast("int") + (F.col("number") == 0).cast("int") * 2 + (F.col("number") == F.col("pages") - 1).cast("int") * 4
     granule = F.col("packet").cast("long") * granule_step
-    head = F.concat(F.lit(b"OggS\x00"), to_be(flags.cast("long"), 1), to_le(granule, 7), F.lit(b"\x00"), to_le(F.col("stream").cast("long"), 4), to_le(F.col("number").cast("long"), 4))
-    tail = F.concat(to_be(F.octet_length(table).cast("long"), 1), table, body)
-    check = F.crc32(F.concat(head, F.lit(b"\x00\x00\x00\x00"), tail))
-    return cut.select("stream", "seq", F.col("number").cast("long").alias("number"), granule.alias("granule"), F.concat(head, to_le(check, 4), tail).alias("page"))
+    return cut.select("stream", "seq", F.col("number").cast("long").alias("number"), granule.alias("granule"), ogg_page(flags, granule, F.col("stream"), F.col("number"), table, body).alias("page"))
 
 
 def ogg_packets(files: DataFrame) -> DataFrame:
@@ -87,6 +92,25 @@ def ogg_packets(files: DataFrame) -> DataFrame:
     return files.select("id", "b").mapInPandas(walk, "id long, k int, granule long, good boolean, payload binary")
 
 
+def flac_blocks(files: DataFrame) -> DataFrame:
+    """id, k, kind, last, start, size of (id, b): metadata blocks of a FLAC file, each after a byte of kind and three of size."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, b in zip(pdf["id"], pdf["b"], strict=True):
+                at, k, last = 4, 0, b is None or bytes(b[:4]) != b"fLaC"
+                while not last and at + 4 <= len(b):
+                    size, last = int.from_bytes(b[at + 1 : at + 4], "big"), b[at] >= 0x80
+                    if at + 4 + size > len(b):
+                        break
+                    out.append((i, k, b[at] & 0x7F, last, at + 4, size))
+                    at, k = at + 4 + size, k + 1
+            yield pd.DataFrame(out, columns=["id", "k", "kind", "last", "start", "size"])
+
+    return files.select("id", "b").mapInPandas(walk, "id long, k int, kind int, last boolean, start long, size long")
+
+
 def mp4_boxes(files: DataFrame) -> DataFrame:
     """id, path, start, size, body of (id, b): leaf boxes of an MP4 file, by path from the top; bodies of sample tables only."""
     inner = {b"moov", b"trak", b"mdia", b"minf", b"stbl"}
@@ -119,9 +143,8 @@ def mp4_boxes(files: DataFrame) -> DataFrame:
 def _entries(boxes: DataFrame, kind: str, first: int, width: int, fields: list[tuple[str, int, int]]) -> DataFrame:
     """id, k and number fields (name, offset, size) of a table box whose entries of ``width`` bytes begin at ``first``."""
     rows = boxes.where(F.col("path").endswith(f"/{kind}")).select("id", "body", be("body", first - 4, 4).alias("count")).where("count > 0")
-    each = rows.select("id", F.explode(F.sequence(F.lit(0), F.col("count").cast("int") - 1)).alias("k"), "body")
-    entry = F.substring("body", F.lit(first + 1) + F.col("k") * width, F.lit(width))
-    return each.select("id", "k", entry.alias("e")).select("id", "k", *[be("e", at, size).alias(name) for name, at, size in fields])
+    entry = F.transform(F.sequence(F.lit(0), F.col("count").cast("int") - 1), lambda k: F.struct(k.alias("k"), F.substring("body", k * width + first + 1, F.lit(width)).alias("e")))
+    return rows.select("id", F.explode(entry).alias("s")).select("id", "s.k", *[be("s.e", at, size).alias(name) for name, at, size in fields])
 
 
 def sample_offsets(sizes: DataFrame, runs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -148,7 +171,10 @@ def mp4_samples(files: DataFrame) -> DataFrame:
     runs = _entries(boxes, "stsc", 8, 12, [("first", 0, 4), ("per", 4, 4)]).drop("k")
     chunks = _entries(boxes, "stco", 8, 4, [("offset", 0, 4)]).unionByName(_entries(boxes, "co64", 8, 8, [("offset", 1, 7)]))
     found = sample_offsets(sizes, runs, chunks.select("id", (F.col("k") + 1).alias("chunk"), "offset"))
-    return found.join(files.select("id", "b"), "id").withColumn("payload", F.substring("b", F.col("offset").cast("int") + 1, F.col("size").cast("int"))).drop("b")
+    # a file meets the list of its samples once, and they are cut before rows multiply
+    lists = found.groupBy("id").agg(F.collect_list(F.struct("sample", "size", "chunk", "offset")).alias("l"))
+    cut = F.transform("l", lambda s: F.struct(s["sample"].alias("sample"), s["size"].alias("size"), s["chunk"].alias("chunk"), s["offset"].alias("offset"), F.substring("b", s["offset"].cast("int") + 1, s["size"].cast("int")).alias("payload")))
+    return lists.join(files.select("id", "b"), "id").select("id", F.explode(cut).alias("s")).select("id", "s.*")
 
 
 def mp4_file(samples: Column) -> Column:
@@ -166,11 +192,10 @@ def mp4_file(samples: Column) -> Column:
     # 8 bytes for each of moov, trak, mdia, minf, stbl, then stsz 20 + 4n, stsc 28, stco 20, and mdat's own 8
     start = 20 + 5 * 8 + 20 + 4 * count + 28 + 20 + 8
     table = box(b"stbl", box(b"stsz", zero, zero, number(count), sizes), box(b"stsc", zero, number(1), number(1), number(count), number(1)), box(b"stco", zero, number(1), number(start)))
-    body = F.aggregate(samples, F.lit(b"").cast("binary"), lambda a, s: F.concat(a, s))
-    return F.concat(head, box(b"moov", box(b"trak", box(b"mdia", box(b"minf", table)))), box(b"mdat", body))
+    return F.concat(head, box(b"moov", box(b"trak", box(b"mdia", box(b"minf", table)))), box(b"mdat", joined(samples)))
 
 
 def join_chunks(rows: DataFrame) -> DataFrame:
     """id, b of (id, k, payload): a file's chunks one after another, as they are."""
     lists = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "payload"))).alias("l"))
-    return lists.select("id", F.aggregate("l", F.lit(b"").cast("binary"), lambda a, c: F.concat(a, c["payload"])).alias("b"))
+    return lists.select("id", joined(F.col("l.payload")).alias("b"))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxtone.functions.bits import be, field, to_be, u8
+from fluxtone.functions.bits import be, field, joined, let, to_be, u8
 
 HEADER = 12
 
@@ -54,8 +54,10 @@ def packetize(rows: DataFrame, mtu: int = 1400) -> DataFrame:
     """id, k, pieces, marker, payload of (id, b): as many pieces as the mtu less a header asks for, the last one marked."""
     room = mtu - HEADER
     pieces = F.greatest(F.ceil(F.octet_length("b") / room), F.lit(1)).cast("int")
-    cut = rows.select("id", "b", pieces.alias("pieces")).select("id", "b", "pieces", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("k"))
-    return cut.select("id", "k", "pieces", (F.col("k") == F.col("pieces") - 1).alias("marker"), F.substring("b", F.col("k") * room + 1, F.lit(room)).alias("payload"))
+    # pieces are cut before rows multiply, so that no row carries more than its own
+    each = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda k: F.struct(k.alias("k"), F.substring("b", k * room + 1, F.lit(room)).alias("payload")))
+    cut = rows.select("id", "b", pieces.alias("pieces")).select("id", "pieces", F.explode(each).alias("p"))
+    return cut.select("id", "p.k", "pieces", (F.col("p.k") == F.col("pieces") - 1).alias("marker"), "p.payload")
 
 
 def session(pieces: DataFrame, stream: str, order: list[str], start: int = 0, step: int = 160) -> DataFrame:
@@ -80,8 +82,7 @@ def reassemble(rows: DataFrame, stream: str = "ssrc") -> DataFrame:
     before = Window.partitionBy(stream).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     framed = rows.withColumn("frame", F.coalesce(F.sum(F.col("marker").cast("int")).over(before), F.lit(0)))
     groups = framed.groupBy(stream, "frame").agg(F.array_sort(F.collect_list(F.struct("seq", "b"))).alias("l"), F.max("marker").alias("ended")).where("ended")
-    joined = F.aggregate("l", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["b"]))
-    return groups.select(stream, "frame", F.get("l.seq", F.lit(0)).alias("first"), F.get("l.seq", F.size("l") - 1).alias("last"), F.size("l").alias("packets"), joined.alias("b"))
+    return groups.select(stream, "frame", F.get("l.seq", F.lit(0)).alias("first"), F.get("l.seq", F.size("l") - 1).alias("last"), F.size("l").alias("packets"), joined(F.col("l.b")).alias("b"))
 
 
 def loss(rows: DataFrame, stream: str = "stream") -> DataFrame:
@@ -132,10 +133,10 @@ def parse_response(text: Column) -> Column:
     lines = F.split(head, "\r?\n")
     status = F.regexp_extract(F.get(lines, F.lit(0)), r"^\S+ (\d+)", 1).try_cast("int")
     reason = F.regexp_extract(F.get(lines, F.lit(0)), r"^\S+ \d+ (.*)$", 1)
-    pairs = F.transform(F.filter(F.slice(lines, 2, 1000), lambda s: s.contains(":")), lambda s: F.struct(F.lower(F.trim(F.regexp_extract(s, "^([^:]*):", 1))).alias("k"), F.trim(F.regexp_replace(s, "^[^:]*:", "")).alias("v")))
-    # of repeated headers the last one holds
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    headers = F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+    pairs = F.transform(F.filter(F.slice(lines, 2, F.size(lines)), lambda s: s.contains(":")), lambda s: F.struct(F.lower(F.trim(F.regexp_extract(s, "^([^:]*):", 1))).alias("k"), F.trim(F.regexp_replace(s, "^[^:]*:", "")).alias("v")))
+    # of repeated headers the last one holds: for each name in order, its last pair
+    numbered = F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v")))
+    headers = let(F.array_sort(numbered), lambda p: F.map_from_entries(F.transform(F.filter(p, lambda x, i: (i == F.size(p) - 1) | (x["k"] != F.get(p["k"], i + 1))), lambda x: F.struct(x["k"], x["v"]))))
     return F.struct(status.alias("status"), reason.alias("reason"), headers.alias("headers"), body.alias("body"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxtone.functions.bits import from_bits, to_bits
 from fluxtone.functions.filters import scan
 
 # Weights of the samples before, by order of the fixed predictors.
@@ -86,3 +87,32 @@ def restore(first: Column, residual: Column, order: int) -> Column:
         return {"v1": v, **{f"v{k}": s[f"v{k - 1}"] for k in range(2, order + 1)}}
 
     return F.concat(first, scan(residual, start, step, "v1", "long"))
+
+
+# Bits of a line frequency, a gain, a lag, the share of the past, and a sample's parts.
+LINE, GAIN, LAG, SHARE, HEARD, SIGN, SIZE = 6, 5, 7, 4, 2, 1, 2
+
+
+def coded_frame(x: Column, a: Column, order: int = 10, sub: int = 40, parts: int = 4, least: int = 20, most: int = 147) -> Column:
+    """Bytes of a frame of ``parts`` times ``sub`` samples under predictor ``a``: evenly spaced line frequencies, then for
+    each part the level and the lag of what is left, a fixed share, and for each sample whether it is heard, its sign and size.
+    """
+    left = F.transform(x, lambda v, i: F.when(i < order, 0.0).otherwise(v - sum((F.get(a, F.lit(k)) * F.get(x, i - k - 1) for k in range(order)), F.lit(0.0))))
+    digits = ["".join(f"{int((i + 1) / (order + 1) * 63 + 0.5):0{LINE}b}" for i in range(order))]
+
+    def sample(r: Column) -> Column:
+        size = F.least((F.abs(r) * 3).cast("int"), F.lit(3))
+        return F.when(F.abs(r) > 0.05, F.concat(F.lit("01"), F.when(r > 0, "1").otherwise("0"), to_bits(size, SIZE))).otherwise("00")
+
+    words = [F.lit("".join(digits))]
+    for s in range(parts):
+        own, at = F.slice(left, s * sub + 1, sub), s * sub
+        rms = F.sqrt(F.aggregate(own, F.lit(0.0), lambda t, r: t + r * r) / sub)
+        gain = (20 * F.log10(F.greatest(rms, F.lit(1e-6))) + 20).cast("int")
+        lag = F.lit(least)
+        if at >= least:
+            match = lambda d, at=at: F.aggregate(F.sequence(F.lit(0), F.lit(sub - 1)), F.lit(0.0), lambda t, i: t + F.get(x, i + at) * F.get(x, i + at - d))
+            found = F.array_max(F.transform(F.sequence(F.lit(least), F.lit(min(most, at))), lambda d: F.struct(match(d).alias("r"), (-d).alias("minus"))))
+            lag = F.when(found["r"] > 0, -found["minus"]).otherwise(least)
+        words += [to_bits(F.least(F.greatest(gain, F.lit(0)), F.lit(31)), GAIN), to_bits(F.least(lag - least, F.lit(127)), LAG), F.lit(f"{4:0{SHARE}b}"), F.array_join(F.transform(own, sample), "")]
+    return from_bits(F.concat(*words))

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxtone.functions import adaptive, g711
+from fluxtone.functions import adaptive, g711, headers
+from fluxtone.functions.bits import from_octets, octets
 
 # Codec ids and names.
 CODECS = {
@@ -20,7 +21,7 @@ CODECS = {
 
 
 class CodecRegistry:
-    """Builders of encode and decode columns (array<int> samples to array<int> codes and back) by codec id."""
+    """Builders of encode and decode columns by codec id: samples (array<int>) to codes (array<int> or bytes) and back."""
 
     def __init__(self) -> None:
         self._builders: dict[int, tuple[Callable[[Column], Column], Callable[[Column], Column]]] = {}
@@ -58,6 +59,32 @@ def default_registry() -> CodecRegistry:
     return found
 
 
+def byte_registry() -> CodecRegistry:
+    """The same codecs between samples and bytes as they are stored and sent."""
+    found, plain = CodecRegistry(), default_registry()
+    for i in (2, 6, 7):
+        encode, decode = plain._builders[i]
+        found.register(i, lambda v, f=encode: from_octets(f(v)), lambda b, f=decode: f(octets(b)))
+    found.register(8, adaptive.g726_stream, adaptive.g726_from_stream)
+    found.register(26, adaptive.ima_stream, adaptive.ima_from_stream)
+    return found
+
+
+def to_pcm(registry: CodecRegistry, codec_id: Column, data: Column) -> Column:
+    """struct<chip, samples> of a device's bytes: the vendor's header comes off, then the codec of the id decodes the rest.
+
+    ``chip`` is null where no vendor's header fits, ``samples`` where the registry hasn't the id.
+    """
+    trimmed = headers.chip_trim(data)
+    return F.struct(trimmed["chip"].alias("chip"), registry.decode(codec_id, trimmed["payload"]).alias("samples"))
+
+
+def from_pcm(registry: CodecRegistry, codec_id: Column, samples: Column, chip: Column) -> Column:
+    """Bytes for a device: encoded by the codec of the id, with the header of vendor ``chip``, or none where that is null."""
+    data = registry.encode(codec_id, samples)
+    return F.when(chip.isNull(), data).otherwise(headers.chip_add(data, chip))
+
+
 def codec_table(spark: SparkSession) -> DataFrame:
     """codec_id, name: the dimension, a row for each id."""
     return spark.createDataFrame(sorted(CODECS.items()), "codec_id int, name string")

@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxtone.functions.filters import Biquad
+
 # Band edges in Hz, least speech levels and first noise levels.
 BANDS = ((80, 250), (250, 500), (500, 1000), (1000, 2000), (2000, 3000), (3000, 4000))
 SPEECH = (200.0, 180.0, 160.0, 140.0, 120.0, 100.0)
 NOISE = (120.0, 100.0, 90.0, 80.0, 70.0, 60.0)
 HANGOVER = 15
+# Frames that make the first noise, and the echo filter's first weights.
+FIRST_FRAMES = 10
+FIRST_WEIGHTS = (0.5, 0.3, 0.15)
 
 
 def subband_energy(frames: DataFrame, size: int, rate: int) -> DataFrame:
@@ -29,25 +36,51 @@ def subband_energy(frames: DataFrame, size: int, rate: int) -> DataFrame:
     return sums.select("id", "band", (F.col("e") / (each * size)).alias("energy"))
 
 
-def speech_probability(rows: DataFrame, aggressiveness: int = 1) -> DataFrame:
-    """stream, frame, probability of (stream, frame, energies array of 6 bands).
+class _Detector:
+    """Speech against noise by bands: holds the noise levels, which follow the energy slowly from frame to frame."""
+
+    def __init__(self, aggressiveness: int):
+        self.noise, self.over, self.speech = np.array(NOISE), 1 + 0.2 * aggressiveness, np.array(SPEECH) * (1 - 0.15 * aggressiveness)
+
+    def probability(self, energy: np.ndarray) -> float:
+        noise = self.noise * self.over
+        score = np.where(energy > self.speech, 1.0, np.where(energy > noise, (energy - noise) / (self.speech - noise + 1), 0.0))
+        self.noise = self.noise * 0.95 + energy * 0.05
+        return float(min(max(score.sum() / len(BANDS), 0.0), 1.0))
 
-    A band scores 1 above its speech level and rises linearly above the noise level, which follows the energy
-    slowly from frame to frame; the fold over a stream's frames carries the noise levels.
-    """
-    lists = rows.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("frame", "energies"))).alias("frames"))
-    start = F.struct(F.array(*[F.lit(v) for v in NOISE]).alias("noise"), F.array().cast("array<struct<frame:bigint,probability:double>>").alias("out"))
 
-    def merge(s: Column, f: Column) -> Column:
-        def score(b: int) -> Column:
-            e, noise, speech = F.get(f["energies"], F.lit(b)), F.get(s["noise"], F.lit(b)) * (1 + 0.2 * aggressiveness), SPEECH[b] * (1 - 0.15 * aggressiveness)
-            return F.when(e > speech, 1.0).when(e > noise, (e - noise) / (speech - noise + 1)).otherwise(0.0)
+def _by_frame(frames: DataFrame, column: str, begin: Callable[[], Any], out: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+    """stream, frame and the columns of ``out`` (a SQL type and an Arrow type each): each stream's frames in order
+    through an object of its own, whose ``feed(list)`` gives the columns' values. No task holds a whole stream."""
+    dealt = frames.select("stream", "frame", column).repartition("stream").sortWithinPartitions("stream", "frame")
 
-        whole = sum((score(b) for b in range(1, 6)), score(0)) / 6
-        heard = F.struct(f["frame"].cast("long").alias("frame"), F.least(F.greatest(whole, F.lit(0.0)), F.lit(1.0)).alias("probability"))
-        return F.struct(F.zip_with(s["noise"], f["energies"], lambda m, e: m * 0.95 + e * 0.05).alias("noise"), F.array_append(s["out"], heard).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, worker = None, None
+        for batch in batches:
+            made = []
+            for stream, x in zip(batch["stream"].to_pylist(), batch[column].to_pylist(), strict=True):
+                if worker is None or stream != current:
+                    current, worker = stream, begin()
+                made.append(worker.feed(x))
+            if made:
+                values = [pa.array(v, kind) for v, (_, kind) in zip(zip(*made, strict=True), out.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch["stream"], batch["frame"], *values], names=["stream", "frame", *out])
+
+    kinds = [f"{c} {dealt.schema[c].dataType.simpleString()}" for c in ("stream", "frame")]
+    return dealt.mapInArrow(run, ", ".join([*kinds, *(f"{c} {kind}" for c, (kind, _) in out.items())]))
+
+
+class _Listener(_Detector):
+    def feed(self, energies: list[float]) -> tuple[float]:
+        return (self.probability(np.array(energies, float)),)
+
+
+def speech_probability(rows: DataFrame, aggressiveness: int = 1) -> DataFrame:
+    """stream, frame, probability of (stream, frame, energies array of 6 bands).
 
-    return lists.select("stream", F.explode(F.aggregate("frames", start, merge, lambda s: s["out"])).alias("f")).select("stream", "f.*")
+    A band scores 1 above its speech level and rises linearly above the noise level; the probability is the mean score.
+    """
+    return _by_frame(rows, "energies", lambda: _Listener(aggressiveness), {"probability": ("double", pa.float64())})
 
 
 def speech_decision(probabilities: DataFrame, aggressiveness: int = 1, hangover: int = HANGOVER) -> DataFrame:
@@ -59,59 +92,174 @@ def speech_decision(probabilities: DataFrame, aggressiveness: int = 1, hangover:
     return rows.withColumn("speech", F.coalesce(F.col("turn") - last <= hangover, F.lit(False))).drop("turn", "over")
 
 
-def suppress_noise(rows: DataFrame, db: float = 12.0, size: int = 512) -> DataFrame:
-    """stream, n, y: spectral subtraction with half-overlapped frames, one stream at a time.
+def _along(rows: DataFrame, columns: list[str], begin: Callable[[], Any]) -> DataFrame:
+    """stream, n, y: each stream's rows in order of n through an object of its own, some thousand rows at a time.
 
-    The noise is the mean magnitude of the first ten frames, then follows frames of less than twice its energy. Of
-    each magnitude the noise, as strong as ``db`` says, is taken away; a hundredth of the magnitude stays. Streams
-    shorter than a frame pass as they are. A stream's samples are the state that its next frame needs, so a
-    stream is a group.
+    ``begin()`` gives an object whose ``feed(n, *values)`` and ``finish()`` return pairs of places and results; it
+    holds what a stream's later samples need, so no task holds a whole stream.
     """
-    keep, window, hop = 1 - 10 ** (-db / 20), 0.5 * (1 - np.cos(2 * np.pi * np.arange(size) / (size - 1))), size // 2
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("n")
-        x, out, noise = group["x"].to_numpy(float), np.zeros(len(group)), np.zeros(size // 2 + 1)
-        if len(x) < size:
-            return group.rename(columns={"x": "y"})[["stream", "n", "y"]]
-        for f, at in enumerate(range(0, len(x) - size + 1, hop)):
-            spectrum = np.fft.rfft(x[at : at + size] * window)
-            level = np.abs(spectrum)
-            if f < 10:
-                noise = (noise * f + level) / (f + 1)
-            elif (level**2).sum() < 2 * (noise**2).sum():
-                noise = 0.95 * noise + 0.05 * level
-            left = np.maximum(level - keep * noise, 0.01 * level)
-            out[at : at + size] += np.fft.irfft(spectrum * left / np.maximum(level, 1e-12), size)
-        return pd.DataFrame({"stream": group["stream"].to_numpy(), "n": group["n"].to_numpy(), "y": out})
-
-    return rows.select("stream", "n", "x").groupBy("stream").applyInPandas(run, "stream long, n long, y double")
-
-
-def cancel_echo(near: DataFrame, far: DataFrame, taps: int = 256, rate: float = 0.5) -> DataFrame:
-    """stream, n, y: what is left of the near end after an adaptive filter of the far end.
+    dealt = rows.select("stream", "n", *columns).repartition("stream").sortWithinPartitions("stream", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, worker = None, None
+
+        def out(n: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch({"stream": pa.array([current] * len(n), pa.int64()), "n": pa.array(n, pa.int64()), "y": pa.array(y, pa.float64())})
+
+        for batch in batches:
+            streams, n = batch["stream"].to_numpy(), batch["n"].to_numpy()
+            values = [batch[c].to_numpy(zero_copy_only=False).astype(float) for c in columns]
+            cuts = [0, *(np.flatnonzero(np.diff(streams)) + 1), len(streams)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if worker is None or streams[a] != current:
+                    if worker is not None:
+                        yield out(*worker.finish())
+                    current, worker = streams[a], begin()
+                yield out(*worker.feed(n[a:b], *(v[a:b] for v in values)))
+        if worker is not None:
+            yield out(*worker.finish())
+
+    return dealt.mapInArrow(run, "stream long, n long, y double")
+
+
+class _Suppressor:
+    """Spectral subtraction: holds the samples and sums of the frames that are not done, and the noise."""
+
+    def __init__(self, keep: float, size: int, rate: float):
+        self.keep, self.size, self.rate, self.frames = keep, size, rate, 0
+        self.window = 0.5 * (1 - np.cos(2 * np.pi * np.arange(size) / (size - 1)))
+        self.n, self.x, self.sums, self.noise = np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(size // 2 + 1)
+
+    def feed(self, n: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.n, self.x, self.sums = np.concatenate([self.n, n]), np.concatenate([self.x, x]), np.concatenate([self.sums, np.zeros(len(x))])
+        done, hop = 0, self.size // 2
+        while done + self.size <= len(self.x):
+            self._frame(done)
+            done += hop
+        out = self.n[:done], self.sums[:done]
+        self.n, self.x, self.sums = self.n[done:], self.x[done:], self.sums[done:]
+        return out
+
+    def _frame(self, at: int) -> None:
+        spectrum = np.fft.rfft(self.x[at : at + self.size] * self.window)
+        level = np.abs(spectrum)
+        if self.frames < FIRST_FRAMES:
+            self.noise = (self.noise * self.frames + level) / (self.frames + 1)
+        elif level.sum() < 2 * self.noise.sum():
+            self.noise = (1 - self.rate) * self.noise + self.rate * level
+        self.frames += 1
+        left = np.maximum(level - self.keep * self.noise, 0.01 * level)
+        self.sums[at : at + self.size] += np.fft.irfft(spectrum * left / np.maximum(level, 1e-12), self.size)
 
-    Both ends are joined on (stream, n), missing far samples are 0; the filter's weights go on from sample to
-    sample, so a stream is a group. Weights hold still while the near end talks over the echo.
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.n, self.sums if self.frames else self.x
+
+
+def suppress_noise(rows: DataFrame, db: float = 12.0, size: int = 512, rate: float = 0.1) -> DataFrame:
+    """stream, n, y: spectral subtraction with half-overlapped frames.
+
+    The noise is the mean magnitude of the first ten frames; then it follows, by ``rate``, the frames whose magnitudes
+    sum to less than twice its own. Of each magnitude the noise, as strong as ``db`` says (more takes away more), is
+    taken away; a hundredth of the magnitude stays. Streams shorter than a frame pass as they are.
     """
-    met = near.select("stream", "n", F.col("x").alias("d")).join(far.select("stream", "n", "x"), ["stream", "n"], "left").fillna({"x": 0.0})
+    keep = 1 - 10 ** (-db / 20)
+    return _along(rows, ["x"], lambda: _Suppressor(keep, size, rate))
+
+
+class _Canceller:
+    """Adaptive filter: holds its weights, the last far samples and the running energies."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("n")
-        d, x = group["d"].to_numpy(float), np.concatenate([np.zeros(taps - 1), group["x"].to_numpy(float)])
-        w, y = np.zeros(taps), np.zeros(len(d))
-        w[:3] = (0.5, 0.3, 0.15)[:taps] if taps >= 3 else w[:3]
+    def __init__(self, taps: int, rate: float, bar: float):
+        self.taps, self.rate, self.bar = taps, rate, bar
+        self.weights, self.past, self.sums = np.zeros(taps), np.zeros(taps - 1), np.zeros(3)
+        self.weights[: len(FIRST_WEIGHTS)] = FIRST_WEIGHTS[:taps]
+
+    def feed(self, n: np.ndarray, d: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, y = np.concatenate([self.past, x]), np.zeros(len(d))
+        near, far, left = self.sums
         for i in range(len(d)):
-            heard = x[i : i + taps][::-1]
-            e = d[i] - w @ heard
-            y[i] = e
+            heard = x[i : i + self.taps][::-1]
+            y[i] = e = d[i] - self.weights @ heard
             power = heard @ heard
-            talk = d[i] ** 2 > 4 * power and e * e > 0.1 * power
-            if not talk:
-                w += rate / (power + 1e-6) * e * heard
-        return pd.DataFrame({"stream": group["stream"].to_numpy(), "n": group["n"].to_numpy(), "y": y})
+            near, far, left = near + d[i] * d[i], far + power, left + e * e
+            talk = near > self.bar * far and left > 0.1 * far
+            if not talk and power > 1e-6:
+                self.weights += self.rate / (power + 1e-6) * e * heard
+        self.sums, self.past = (near, far, left), x[len(x) - self.taps + 1 :]
+        return n, y
+
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros(0, np.int64), np.zeros(0)
+
+
+def cancel_echo(near: DataFrame, far: DataFrame, taps: int = 256, rate: float = 0.1, bar: float = 0.5) -> DataFrame:
+    """stream, n, y: what is left of the near end after an adaptive filter of the far end.
+
+    Both ends are joined on (stream, n), missing far samples are 0. The weights hold still while the near end talks
+    over the echo: while the energy of the near end so far is above ``bar`` times that of the far end in the filter,
+    and that of what is left above a tenth of it; and where the far end is silent. No noise is added to silence.
+    """
+    met = near.select("stream", "n", F.col("x").alias("d")).join(far.select("stream", "n", "x"), ["stream", "n"], "left").fillna({"x": 0.0})
+    return _along(met, ["d", "x"], lambda: _Canceller(taps, rate, bar))
+
+
+class _Preprocessor:
+    """High-pass, speech detection and gain of one stream: holds the filter's, the detector's and the gain's state."""
+
+    def __init__(self, rate: int, aggressiveness: int, vad: bool, agc: bool, silence: bool, scale: float):
+        self.vad, self.agc, self.silence, self.scale, self.rate = vad, agc, silence, scale, rate
+        self.filter, self.detector, self.bar = Biquad.design("highpass", rate, 80), _Detector(aggressiveness), 0.5 - 0.1 * aggressiveness
+        self.past, self.since = [0.0] * 4, None
+        self.power, self.gain = 0.001, 1.0
+        self.attack, self.release = (math.exp(-1000 / (rate * ms)) for ms in (10.0, 500.0))
+
+    def feed(self, x: list[float] | None) -> tuple[list[float], float, bool, float]:
+        y = self._filtered(np.array(x or [], float))
+        probability, speech = self._heard(y) if self.vad else (0.0, True)
+        y = np.zeros(len(y)) if self.silence and not speech else self._levelled(y) if self.agc else y
+        return y.tolist(), probability, speech, self.gain
 
-    return met.groupBy("stream").applyInPandas(run, "stream long, n long, y double")
+    def _filtered(self, x: np.ndarray) -> np.ndarray:
+        f, (x1, x2, y1, y2), out = self.filter, self.past, np.zeros(len(x))
+        for i, v in enumerate(x):
+            out[i] = f.b0 * v + f.b1 * x1 + f.b2 * x2 - f.a1 * y1 - f.a2 * y2
+            x1, x2, y1, y2 = v, x1, out[i], y1
+        self.past = [x1, x2, y1, y2]
+        return out
+
+    def _heard(self, y: np.ndarray) -> tuple[float, bool]:
+        size, energy = len(y), np.zeros(len(BANDS))
+        power = np.abs(np.fft.fft(y)) ** 2 if size else np.zeros(0)
+        for b, (low, high) in enumerate(BANDS):
+            bins = [k for k in range(low * size // self.rate, high * size // self.rate + 1) if k < size // 2]
+            energy[b] = power[bins].sum() / (len(bins) * size) * self.scale if bins else 0.0
+        probability = self.detector.probability(energy)
+        self.since = 0 if probability > self.bar else None if self.since is None else self.since + 1
+        return probability, self.since is not None and self.since <= HANGOVER
+
+    def _levelled(self, y: np.ndarray) -> np.ndarray:
+        out, target, most = np.zeros(len(y)), 10 ** (-18 / 20), 10 ** (20 / 20)
+        for i, v in enumerate(y):
+            self.power = 0.99 * self.power + 0.01 * v * v
+            wanted = min(target / math.sqrt(self.power), most)
+            k = self.attack if wanted < self.gain else self.release
+            self.gain = k * self.gain + (1 - k) * wanted
+            out[i] = v * self.gain
+        return out
+
+
+def preprocess(frames: DataFrame, rate: int = 8000, aggressiveness: int = 1, vad: bool = True, agc: bool = True, silence: bool = True, scale: float = 1.0) -> DataFrame:
+    """stream, frame, y, probability, speech, gain of (stream, frame, x array): what a voice goes through before it is coded.
+
+    A high-pass at 80 Hz; detection of speech, which lasts ``HANGOVER`` frames on, and zeros for frames without it;
+    gain toward a level, which stands still meanwhile. Each step can be left out: without ``vad`` all frames are
+    speech, without ``silence`` others pass too. ``scale`` brings energies to the detector's levels. A frame updates
+    the detector's noise once. All state goes on from frame to frame, and no task holds a whole stream.
+    """
+    out = {"y": ("array<double>", pa.list_(pa.float64())), "probability": ("double", pa.float64()), "speech": ("boolean", pa.bool_()), "gain": ("double", pa.float64())}
+    return _by_frame(frames, "x", lambda: _Preprocessor(rate, aggressiveness, vad, agc, silence, scale), out)
 
 
 def bands_of(energy: DataFrame) -> DataFrame:

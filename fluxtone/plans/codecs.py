@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxtone.functions import adaptive
+from fluxtone.operators.registry import byte_registry, default_registry, from_pcm, to_pcm
 from fluxtone.plans import views
-from fluxtone.plans.dsp import _print
+from fluxtone.plans.dsp import _alaw_decode_sql, _alaw_encode_sql, _print, _print_sql, _ulaw_decode_sql, _ulaw_encode_sql
 from fluxtone.plans.oracle import PCM, array, fold
 
 QUERIES, ORACLE = {}, {}
@@ -23,10 +24,7 @@ def query(sql: str):
     return add
 
 
-IMA_ENCODE = fold(
-    PCM,
-    "v",
-    {"value": "0::int", "ix": "0::int", "code": "0::int"},
+IMA_STEP = (
     [
         ("size", f"{STEPS}[p_ix + 1]"),
         ("diff", "s - p_value"),
@@ -40,6 +38,7 @@ IMA_ENCODE = fold(
     ],
     {"value": "least(greatest(p_value + case when diff < 0 then -change else change end, -32768), 32767)", "ix": f"least(greatest(p_ix + {IMA}[low + 1], 0), 88)", "code": "low + case when diff < 0 then 8 else 0 end"},
 )
+IMA_ENCODE = fold(PCM, "v", {"value": "0::int", "ix": "0::int", "code": "0::int"}, *IMA_STEP)
 
 
 @query(f"{IMA_ENCODE} select id, sum(p_code * i)::bigint as fingerprint, string_agg(lower(to_hex(p_code)), '' order by i) as packed from r where i > 0 group by id")
@@ -113,3 +112,64 @@ def g722_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g722_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.pcm(spark, sf_dir).select("id", adaptive.g722_decode(adaptive.g722_encode(F.col("v"))).alias("back"))
     return rows.select("id", _print("back").alias("fingerprint"), F.size("back").alias("n"))
+
+
+@query(f"""{fold(PCM, "v", {"value": "(id * 7 % 2000 - 1000)::int", "ix": "(id % 89)::int", "code": "0::int"}, *IMA_STEP)}
+  select id, format('{{:02X}}{{:02X}}{{:02X}}00', ((id * 7 % 2000 - 1000 + 65536) % 65536)::int % 256, ((id * 7 % 2000 - 1000 + 65536) % 65536)::int // 256, (id % 89)::int) || string_agg(format('{{:X}}', p_code), '' order by i) as bytes,
+    sum(p_value::bigint * i)::bigint as fingerprint from r where i > 0 group by id""")
+def adpcm_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that go on from a state of their own, as bytes with that state before them, and read back."""
+    start = ((F.col("id") * 7 % 2000 - 1000).cast("int"), (F.col("id") % 89).cast("int"))
+    rows = views.pcm(spark, sf_dir).select("id", adaptive.ima_stream(F.col("v"), start).alias("b"))
+    return rows.select("id", F.hex("b").alias("bytes"), _print(adaptive.ima_from_stream(F.col("b"))).alias("fingerprint"))
+
+
+BIT_HEX = "array_to_string(list_transform(range(len(s) // 8), lambda j: format('{:02X}', list_sum(list_transform(range(8), lambda t: substr(s, (j * 8 + t + 1)::int, 1)::int << (7 - t)::int))::int)), '')"
+
+
+@query(" union all ".join(f"select {bits} as bits, id, {BIT_HEX} as bytes, fingerprint from ({_g726(bits)} select id, string_agg(lpad(bin(p_code), {bits}, '0'), '' order by i) as s, sum(p_value::bigint * i)::bigint as fingerprint from r where i > 0 group by id)" for bits in (2, 3, 4, 5)))
+def g726_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of each width as bytes, the high bit first, and read back."""
+    each = F.array(*[F.struct(F.lit(b).alias("bits"), adaptive.g726_stream(F.col("v"), b).alias("b")) for b in (2, 3, 4, 5)])
+    rows = views.pcm(spark, sf_dir).select("id", F.explode(each).alias("s")).select("s.bits", "id", "s.b")
+    back = F.when(F.col("bits") == 2, adaptive.g726_from_stream(F.col("b"), 2)).when(F.col("bits") == 3, adaptive.g726_from_stream(F.col("b"), 3)).when(F.col("bits") == 4, adaptive.g726_from_stream(F.col("b"), 4)).otherwise(adaptive.g726_from_stream(F.col("b"), 5))
+    return rows.select("bits", "id", F.hex("b").alias("bytes"), _print(back).alias("fingerprint"))
+
+
+def _each_codec(extra: str) -> str:
+    """A row for each frame through the codec of its id: codec, codes, samples, fingerprint, and ``extra``."""
+    g722 = "sum(least(greatest(round_even(p_lv, 0) + round_even(p_hv, 0), -32768), 32767)::bigint * (2 * i - 1) + least(greatest(round_even(p_lv, 0) - round_even(p_hv, 0), -32768), 32767)::bigint * 2 * i)::bigint"
+    law = lambda encode, decode: f"select id, len(v)::int as codes, len(v)::int as samples, {_print_sql('b')} as fingerprint from (select id, v, list_transform(list_transform(v, lambda v: {encode('v')}), lambda c: {decode('c')}) as b from ({PCM}))"
+    parts = [
+        f"{G722} select id, count(*)::int as codes, (2 * count(*))::int as samples, {g722} as fingerprint from r where i > 0 group by id",
+        law(_alaw_encode_sql, _alaw_decode_sql),
+        law(_ulaw_encode_sql, _ulaw_decode_sql),
+        f"{_g726(4)} select id, count(*)::int as codes, count(*)::int as samples, sum(p_value::bigint * i)::bigint as fingerprint from r where i > 0 group by id",
+        f"{IMA_ENCODE} select id, count(*)::int as codes, count(*)::int as samples, sum(p_value::bigint * i)::bigint as fingerprint from r where i > 0 group by id",
+    ]
+    ids = (2, 6, 7, 8, 26)
+    return " union all ".join(f"select id, {c} as codec, codes, samples, fingerprint{extra} from ({sql}) where id % 5 = {k}" for k, (c, sql) in enumerate(zip(ids, parts, strict=True)))
+
+
+def _by_id(spark, sf_dir, registry) -> DataFrame:
+    ids = F.array(*[F.lit(i) for i in registry.ids()])
+    return views.pcm(spark, sf_dir).withColumn("codec", F.get(ids, (F.col("id") % len(registry.ids())).cast("int")))
+
+
+@query(_each_codec(""))
+def codec_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame through the codec of its id, and back."""
+    registry = default_registry()
+    rows = _by_id(spark, sf_dir, registry)
+    rows = rows.withColumn("codes", registry.encode(F.col("codec"), F.col("v"))).withColumn("back", registry.decode(F.col("codec"), F.col("codes")))
+    return rows.select("id", "codec", F.size("codes").alias("codes"), F.size("back").alias("samples"), _print("back").alias("fingerprint"))
+
+
+@query(f"select id, codec, case id % 3 when 0 then 'hisilicon' when 1 then 'dahua' else 'uniview' end as chip, samples, fingerprint, (case codec when 8 then codes // 2 when 26 then codes // 2 + 4 else codes end + case when id % 3 = 1 then 6 else 4 end)::int as bytes from ({_each_codec('')})")
+def device_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames as a vendor's device sends them: encoded by the codec of their id, with the vendor's header, and both taken off again."""
+    registry = byte_registry()
+    chip = F.get(F.array(F.lit("hisilicon"), F.lit("dahua"), F.lit("uniview")), (F.col("id") % 3).cast("int"))
+    rows = _by_id(spark, sf_dir, registry).withColumn("b", from_pcm(registry, F.col("codec"), F.col("v"), chip))
+    rows = rows.withColumn("p", to_pcm(registry, F.col("codec"), F.col("b")))
+    return rows.select("id", "codec", "p.chip", F.size("p.samples").alias("samples"), _print("p.samples").alias("fingerprint"), F.octet_length("b").alias("bytes"))

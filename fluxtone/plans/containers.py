@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxtone.functions import headers
-from fluxtone.functions.bits import u8
+from fluxtone.functions.bits import le, to_be, u8
 from fluxtone.operators import containers
-from fluxtone.operators.registry import CODECS, codec_table, default_registry
+from fluxtone.operators.registry import CODECS, codec_table
 from fluxtone.plans import views
-from fluxtone.plans.dsp import _print
 from fluxtone.plans.oracle import array
 
 QUERIES, ORACLE = {}, {}
@@ -55,21 +54,21 @@ def ogg_lacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", n.alias("segments"), u8(F.col("t"), F.octet_length("t") - 1).alias("last"), F.expr("cast(octet_length(t) + 254 as long) div 255").alias("pages"))
 
 
-@query(f"select id % 20 as stream, row_number() over (partition by id % 20 order by id)::int - 1 as k, 960 * row_number() over (partition by id % 20 order by id) as granule, true as good, digest from ({SIZES})")
+@query(f"select id // 50 as stream, row_number() over (partition by id // 50 order by id)::int - 1 as k, 960 * row_number() over (partition by id // 50 order by id) as granule, true as good, digest from ({SIZES})")
 def ogg_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as packets of twenty streams: pages with checksums, files, and packets again."""
-    rows = views.payload(spark, sf_dir).select((F.col("id") % 20).alias("stream"), F.col("id").alias("seq"), "b")
+    """Documents as packets of streams of fifty: pages with checksums, files, and packets again."""
+    rows = views.payload(spark, sf_dir).select(F.expr("id div 50").alias("stream"), F.col("id").alias("seq"), "b")
     pages = containers.ogg_pages(rows).select(F.col("stream").alias("id"), F.col("number").alias("k"), F.col("page").alias("payload"))
     out = containers.ogg_packets(containers.join_chunks(pages))
     return out.select(F.col("id").alias("stream"), "k", "granule", "good", F.md5("payload").alias("digest"))
 
 
-@query(f"select id, sample::bigint as sample, size, chunk::bigint as chunk, (1000 + 100000 * chunk + coalesce(sum(size) over (partition by id, chunk order by sample rows between unbounded preceding and 1 preceding), 0))::bigint as offset from (select *, case when sample < 9 then sample // 3 + 1 else 4 + (sample - 9) // 5 end as chunk from (select id % 10 as id, size, row_number() over (partition by id % 10 order by id) - 1 as sample from ({SIZES})))")
+@query(f"select id, sample::bigint as sample, size, chunk::bigint as chunk, (1000 + 100000 * chunk + coalesce(sum(size) over (partition by id, chunk order by sample rows between unbounded preceding and 1 preceding), 0))::bigint as offset from (select *, case when sample < 9 then sample // 3 + 1 else 4 + (sample - 9) // 5 end as chunk from (select id // 40 as id, size, row_number() over (partition by id // 40 order by id) - 1 as sample from ({SIZES})))")
 def mp4_sample_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten tracks of documents: three samples a chunk in the first three chunks, then five."""
+    """Tracks of forty documents: three samples a chunk in the first three chunks, then five."""
     from pyspark.sql import Window
 
-    rows = views.payload(spark, sf_dir).select((F.col("id") % 10).alias("t"), F.col("id").alias("d"), F.octet_length("b").cast("long").alias("size"))
+    rows = views.payload(spark, sf_dir).select(F.expr("id div 40").alias("t"), F.col("id").alias("d"), F.octet_length("b").cast("long").alias("size"))
     sizes = rows.select(F.col("t").alias("id"), (F.row_number().over(Window.partitionBy("t").orderBy("d")) - 1).cast("long").alias("sample"), "size")
     tracks = sizes.groupBy("id").agg(F.count("*").alias("n"))
     runs = tracks.select("id", F.explode(F.array(F.struct(F.lit(1).cast("long").alias("first"), F.lit(3).cast("long").alias("per")), F.struct(F.lit(4).cast("long").alias("first"), F.lit(5).cast("long").alias("per")))).alias("r")).select("id", "r.*")
@@ -101,13 +100,12 @@ def mp3_header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("id", headers.mp3(headers.to_be(word, 4)).alias("h")).select("id", "h.*")
 
 
-@query("""select conv_id as id, turn as t, i::int as at from (select conv_id, turn, unnest(list_filter(range(octet_length(encode(text)) + 8), lambda i: i = 4 or i = octet_length(encode(text)) + 4)) as i from conversations)""")
+@query("""select conv_id as id, turn as t, i::int as at from (select conv_id, turn, unnest([4, octet_length(encode(text)) + 8]) as i from conversations)""")
 def mp3_sync_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where sync words are in bytes with two of them among text."""
     mark = F.lit(bytes([0xFF, 0xFB, 0x90, 0x00]))
-    rows = views.packets(spark, sf_dir).select(F.col("ssrc").alias("id"), F.col("seq").alias("t"), F.concat(F.lit(b"\x01\x02\x03\x04"), mark, F.substring("b", F.lit(5), F.octet_length("b")), mark).alias("b"))
-    each = rows.select("id", "t", "b", F.explode(F.sequence(F.lit(0), F.octet_length("b") - 2)).alias("at"))
-    return each.where((u8(F.col("b"), F.col("at")) == 255) & (u8(F.col("b"), F.col("at") + 1) >= 0xE0)).select("id", "t", "at")
+    rows = views.packets(spark, sf_dir).select(F.col("ssrc").alias("id"), F.col("seq").alias("t"), F.concat(F.lit(b"\x01\x02\x03\x04"), mark, "b", mark).alias("b"))
+    return rows.select("id", "t", F.explode(headers.sync_places(F.col("b"))).alias("at"))
 
 
 @query(f"""with e as (select event_id as id, event_id % 4 + 1 as object_type, case when event_id % 5 = 4 then 11502 else {array(headers.AAC_RATES)}[(user_id % 13)::int + 1] end as rate, event_id % 7 + 1 as channels, user_id % 13 as r, event_id % 5 = 4 as own from events)
@@ -164,16 +162,72 @@ def codec_registry_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(codec_table(spark)), "codec_id").select("id", "name")
 
 
-@query()
-def codec_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each frame through the codec of its id, and back."""
-    registry = default_registry()
-    ids = F.array(*[F.lit(i) for i in registry.ids()])
-    rows = views.pcm(spark, sf_dir).withColumn("codec", F.get(ids, (F.col("id") % len(registry.ids())).cast("int")))
-    rows = rows.withColumn("codes", registry.encode(F.col("codec"), F.col("v"))).withColumn("back", registry.decode(F.col("codec"), F.col("codes")))
-    return rows.select("id", "codec", F.size("codes").alias("codes"), F.size("back").alias("samples"), _print("back").alias("fingerprint"))
+@query(f"""select id, size + case id % 5 when 1 then 6 else 4 end as bytes, case id % 5 when 1 then '00010100' || format('{{:02X}}{{:02X}}', size % 256, size // 256 % 256) when 2 then '24010000' || substr(h, 1, 4)
+  else '0001' || format('{{:02X}}', size // 2 % 256) || '00' || substr(h, 1, 4) end as head from ({SIZES})""")
+def chip_header_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers by a column of vendors, with unknown and missing ones among them."""
+    chip = F.get(F.array(F.lit("hisilicon"), F.lit("dahua"), F.lit("uniview"), F.lit("unknown"), F.lit(None)), (F.col("id") % 5).cast("int"))
+    rows = views.payload(spark, sf_dir).select("id", headers.chip_add(F.col("b"), chip).alias("b"))
+    return rows.select("id", F.octet_length("b").cast("long").alias("bytes"), F.hex(F.substring("b", 1, 6)).alias("head"))
 
 
-@query()
+#: CRC-32 of one byte in each state of its low eight bits, by the rule of the polynomial.
+def _crc_table() -> list[int]:
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    return table
+
+
+def _crc_sql(bytes_list: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {bytes_list}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+@query(f"""with p as (select conv_id as id, turn as t, encode(text) as b, octet_length(encode(text)) as n, row_number() over (partition by conv_id order by turn) as k, count(*) over (partition by conv_id) as m from conversations),
+  h as (select id, t, '4F67675300' || format('{{:02X}}', case when k = 1 then 2 else 0 end + case when k = m then 4 else 0 end) || le8(960 * k) || le4(id) || le4(k - 1) || '00000000' || format('{{:02X}}', n // 255 + 1) || repeat('FF', (n // 255)::int) || format('{{:02X}}', n % 255) || hex(b) as h from p),
+  l as (select id, t, len(h) // 2 as bytes, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::int, 2))::bigint) as b, {array(_crc_table())}::bigint[] as crc from h)
+  select id, t, bytes, {_crc_sql("b")} as crc from l""".replace("le8(960 * k)", "array_to_string(list_transform(range(8), lambda j: format('{:02X}', (960 * k) >> (8 * j)::int & 255)), '')").replace("le4(id)", "array_to_string(list_transform(range(4), lambda j: format('{:02X}', id >> (8 * j)::int & 255)), '')").replace("le4(k - 1)", "array_to_string(list_transform(range(4), lambda j: format('{:02X}', (k - 1) >> (8 * j)::int & 255)), '')"))
 def ogg_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.payload(spark, sf_dir).select("id", F.crc32("b").alias("crc"))
+    """The checksum in each page of conversations as streams, a page for each turn."""
+    pages = containers.ogg_pages(views.packets(spark, sf_dir).select(F.col("ssrc").alias("stream"), "seq", "b"))
+    return pages.select(F.col("stream").alias("id"), F.col("seq").alias("t"), F.octet_length("page").cast("long").alias("bytes"), le(F.col("page"), 22, 4).alias("crc"))
+
+
+@query(f"""with e as (select event_id as id, case event_id % 3 when 0 then 0 when 1 then 5 else 29 end as kind, {array(headers.AAC_RATES)}[(user_id % 13)::int + 1] as r, event_id % 2 = 0 as ps, event_id % 5 = 4 as own from events)
+  select id, case when kind = 0 then null else kind end::bigint as extension, case when kind = 5 then true end as sbr, case when kind = 5 then case when own then 11502 else r end end::bigint as rate, case when kind > 0 then ps end as ps from e""")
+def asc_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configurations with no extension, with band replication at rates with and without an index, and with parametric stereo alone."""
+    kind = F.get(F.array(F.lit(0), F.lit(5), F.lit(29)), (F.col("id") % 3).cast("int"))
+    rate = F.when(F.col("id") % 5 == 4, 11502).otherwise(F.get(F.array(*[F.lit(r) for r in headers.AAC_RATES]), (F.col("u") % 13).cast("int")))
+    b = headers.write_extended_config(F.lit(2), rate, F.col("id") % 7 + 1, kind, rate, F.col("id") % 2 == 0)
+    return _events(spark, sf_dir).select("id", headers.config_extension(b).alias("c")).select("id", "c.*")
+
+
+@query("""select id, format('{:02X}{:02X}', 16 + r // 2, (r % 2) * 128 + ch * 8) as config, true as back from (select event_id as id, (event_id % 13)::int as r, (user_id % 7 + 1)::int as ch from events)""")
+def adts_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The configuration of each header, and the header again from that."""
+    rows = _events(spark, sf_dir).select("id", headers.adts_header(F.col("id") % 13, F.col("u") % 7 + 1, F.col("id") % 8000).alias("b"), (F.col("id") % 8000).alias("size"))
+    rows = rows.withColumn("c", headers.config_from_adts(F.col("b")))
+    return rows.select("id", F.hex("c").alias("config"), (headers.adts_from_config(F.col("c"), F.col("size")) == F.col("b")).alias("back"))
+
+
+@query("""select id, 'Überbau ' || id as vendor, case when id % 3 > 0 then 'TITLE=' || u end as first, id % 3 as comments, true as whole, true as cut_is_null from (select event_id as id, user_id as u from events)""")
+def vorbis_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second headers of none to two comments, read back, and refused when they are cut short."""
+    texts = F.slice(F.array(F.concat(F.lit("TITLE="), F.col("u").cast("string")), F.lit("ARTIST=é")), F.lit(1), (F.col("id") % 3).cast("int"))
+    b = headers.write_vorbis_comments(F.concat(F.lit("Überbau "), F.col("id").cast("string")), texts)
+    rows = _events(spark, sf_dir).select("id", b.alias("b")).withColumn("c", headers.vorbis_comments(F.col("b")))
+    cut = headers.vorbis_comments(F.substring("b", F.lit(1), F.octet_length("b") - 1))
+    return rows.select("id", "c.vendor", F.get("c.comments", F.lit(0)).alias("first"), F.size("c.comments").cast("long").alias("comments"), (F.col("c.size") == F.octet_length("b")).alias("whole"), cut.isNull().alias("cut_is_null"))
+
+
+@query(f"""select id, k, kind, last, start, bytes from (select id, size, id % 50 as pad from ({SIZES})) cross join lateral (values (0, 0, false, 8::bigint, 34::bigint), (1, 4, false, 46, size), (2, 1, true, 50 + size, pad)) t(k, kind, last, start, bytes)""")
+def flac_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of a file with stream information, a comment, and padding; what follows the last one is sound."""
+    block = lambda kind, b: F.concat(F.lit(bytes([kind])), to_be(F.octet_length(b).cast("long"), 3), b)
+    padding = F.unhex(F.repeat(F.lit("00"), (F.col("id") % 50).cast("int")))
+    whole = F.concat(F.lit(b"fLaC"), block(0, F.lit(bytes(34))), block(4, F.col("b")), block(0x81, padding), F.lit(b"\xff\xf8sound"))
+    out = containers.flac_blocks(views.payload(spark, sf_dir).select("id", whole.alias("b")))
+    return out.select("id", "k", "kind", "last", "start", F.col("size").alias("bytes"))

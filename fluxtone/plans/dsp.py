@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fluxtone.functions import filters, g711, signal
 from fluxtone.operators import mixing
+from fluxtone.operators.chain import Chain
 from fluxtone.plans import views
 from fluxtone.plans.oracle import FRAMES, PCM, SERIES, fold
 
@@ -197,3 +198,22 @@ def eq_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_chain_sql(FRAMES, TEN))
 def eq_ten_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.frames(spark, sf_dir).select("id", filters.equalizer(F.col("x"), TEN).alias("y")).select("id", *_level("y"))
+
+
+@query(f"""select id, (8000 * (1 + id % 6) * 2 * 8 // 8)::int as byte_rate, (160 * (1 + id % 3) * 2 * (8 // 8))::int as frame_bytes, (8000 * (1 + id % 6) * (1 + id % 2) * 16 // 8)::int as before, round(list_sum(x), 6) as total from ({FRAMES})""")
+def format_declare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that are said to be of other bits and channels: what follows from the format changes, samples don't."""
+    known = signal.audio_format(8000 * (1 + F.col("id") % 6), 1 + F.col("id") % 2, F.lit(16), 160 * (1 + F.col("id") % 3))
+    rows = views.frames(spark, sf_dir).withColumn("f", known).withColumn("g", signal.declare(F.col("f"), bits=8, channels=2))
+    return rows.select("id", signal.byte_rate(F.col("g")).alias("byte_rate"), signal.bytes_per_frame(F.col("g")).alias("frame_bytes"), signal.byte_rate(F.col("f")).alias("before"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+
+
+@query(f"select id, round(list_sum(list_transform(x, lambda v: least(greatest(v * 4, -1), 1) * 0.5)), 6) as total, round(list_max(list_transform(x, lambda v: abs(least(greatest(v * 4, -1), 1) * 0.5))), 6) as peak from ({FRAMES})")
+def processor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Louder, clipped, softer; a fourth step is put in and taken out again."""
+    over_x = lambda f: lambda frames: frames.withColumn("x", F.transform("x", f))
+    silent = over_x(lambda v: v * 0)
+    steps = Chain(silent, over_x(lambda v: v * 4), over_x(lambda v: F.least(F.greatest(v, F.lit(-1.0)), F.lit(1.0)))).add(over_x(lambda v: v * 0.5))
+    steps.remove(silent)
+    rows = steps(views.frames(spark, sf_dir))
+    return rows.select("id", F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 6).alias("total"), F.round(signal.peak(F.col("x")), 6).alias("peak"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxtone.functions.bits import to_be
+from fluxtone.functions.bits import joined, to_be
 from fluxtone.operators import packets
 from fluxtone.plans import views
 from fluxtone.plans.oracle import LOSSY, PACKETS
@@ -32,12 +32,12 @@ def rtp_packetize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "k", "pieces", "marker", F.octet_length("payload").alias("bytes"))
 
 
-@query(f"""select id, k, (rank - 1) % 65536 as seq, (ends * 160) % 4294967296 as timestamp from (
-  select id, k, row_number() over (partition by id % 3 order by id, k) as rank, coalesce(sum(marker::int) over (partition by id % 3 order by id, k rows between unbounded preceding and 1 preceding), 0)::bigint as ends from ({PIECES}))""")
+@query(f"""select id, k, (rank - 1 + 65500) % 65536 as seq, (ends * 160) % 4294967296 as timestamp from (
+  select id, k, row_number() over (partition by id // 100 order by id, k) as rank, coalesce(sum(marker::int) over (partition by id // 100 order by id, k rows between unbounded preceding and 1 preceding), 0)::bigint as ends from ({PIECES}))""")
 def rtp_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three senders; numbers and times wrap."""
-    pieces = packets.packetize(views.payload(spark, sf_dir)).withColumn("sender", F.col("id") % 3)
-    out = packets.session(pieces.drop("payload"), "sender", ["id", "k"])
+    """Senders of a hundred documents each; numbers wrap."""
+    pieces = packets.packetize(views.payload(spark, sf_dir)).withColumn("sender", F.expr("id div 100"))
+    out = packets.session(pieces.drop("payload"), "sender", ["id", "k"], start=65500)
     return out.select("id", "k", F.col("seq").cast("long").alias("seq"), "timestamp")
 
 
@@ -119,5 +119,5 @@ def interleaved_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     framed = F.concat(F.lit(b"\x24"), to_be(F.col("seq") % 4, 1), to_be(F.octet_length("b").cast("long"), 2), F.col("b"))
     rows = views.packets(spark, sf_dir).select("ssrc", "seq", framed.alias("f"))
     whole = rows.groupBy(F.col("ssrc").alias("id")).agg(F.array_sort(F.collect_list(F.struct("seq", "f"))).alias("l"))
-    capture = whole.select("id", F.aggregate("l", F.lit(b"xx").cast("binary"), lambda a, p: F.concat(a, p["f"])).alias("b"))
+    capture = whole.select("id", F.concat(F.lit(b"xx"), joined(F.col("l.f"))).alias("b"))
     return packets.split_interleaved(capture).select("id", "k", "channel", F.md5("payload").alias("digest"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxtone.functions import signal, spectral
+from fluxtone.functions.bits import bits_of
 from fluxtone.operators import prediction, stretch
 from fluxtone.plans import views
 from fluxtone.plans.oracle import CORRELATED, FRAMES, PCM, SERIES
@@ -217,3 +219,85 @@ def pitch_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 def requantize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.pcm(spark, sf_dir).select("id", F.explode("v").alias("v")).withColumn("q", F.expr("v div 256"))
     return rows.groupBy("id").agg(F.round(F.sum(spectral.requantize(F.col("q"), F.col("id") % 9 - 4)) / 1000, 4).alias("total"))
+
+
+def _mdct_sql(half: int) -> str:
+    return f"""select id, k, sum(x * cos(pi() / {half} * (n + 0.5 + {half / 2}) * (k + 0.5))) * 2 / {half} as c
+      from (select id, n, x * sin(pi() / 2 * pow(sin(pi() / {2 * half} * (n + 0.5)), 2)) as x from ({LONG}) where n < {2 * half}) cross join (select unnest(range({half})) as k) group by id, k"""
+
+
+def _band_sql(half: int, bands: int) -> str:
+    """Bands of the widths that the operator gives them, as a table, and their levels as codes."""
+    rows, at = [], 0
+    for b in range(bands):
+        width = max(1, (b + 1) * half // bands - b * half // bands)
+        rows.append((b, at, width))
+        at += width
+    values = ", ".join(map(str, rows))
+    return f"""select id, string_agg(lpad(bin(q), 6, '0'), '' order by band) as s from (
+      select id, band, case when coalesce(sum(c * c), 0) > 0 then least(greatest(trunc((20 * log10(sqrt(sum(c * c) / width)) + 28) * 2), 0), 63) else 0 end::int as q
+      from (select distinct id from ({LONG})) i cross join (values {values}) b(band, low, width) left join ({_mdct_sql(half)}) m using (id) where m.k >= low and m.k < low + width group by id, band, width) group by id"""
+
+
+@query(f"""select id, 'x' || md5(s || repeat('0', (case when len(s) % 8 = 0 then 0 else 8 - len(s) % 8 end)::int)) as digest, (1 + len(s || '') // 8 + case when len(s) % 8 > 0 then 1 else 0 end)::int as bytes from (select id, s || '00000' as s from ({_band_sql(32, 21)}))""")
+def opus_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Band levels of 6 bits as packed frames; the digest is of the bits after the first byte."""
+    codes = spectral.band_codes(spectral.mdct(views.frames_long(spark, sf_dir), 32), 32)
+    rows = codes.select("id", spectral.opus_frame(F.col("codes")).alias("b"))
+    return rows.select("id", F.concat(F.lit("x"), F.md5(bits_of(F.substring("b", F.lit(2), F.octet_length("b"))))).alias("digest"), F.octet_length("b").alias("bytes"))
+
+
+def _alias_sql() -> str:
+    cosine, sine = ([f(c) for c in spectral.BUTTERFLIES] for f in (lambda c: 1 / math.sqrt(1 + c * c), lambda c: c / math.sqrt(1 + c * c)))
+    return f"""with c as (select {cosine!r}::double[] as cs, {sine!r}::double[] as ca),
+      l as (select id, n, x, n // 18 as band, n % 18 as p, 64 // 18 as bands from ({LONG})),
+      b as (select id, n, x, p, case when p >= 10 and band + 1 < bands then 1 when p < 8 and band > 0 and band < bands then -1 else 0 end as side from l)
+      select b.id, round(sum((b.n + 1) * case b.side when 1 then b.x * cs[18 - b.p] - o.x * ca[18 - b.p] when -1 then b.x * cs[b.p + 1] + o.x * ca[b.p + 1] else b.x end), 5) as weighted
+      from b cross join c left join b o on o.id = b.id and o.n = b.n + case b.side when 1 then 2 * (17 - b.p) + 1 when -1 then -2 * b.p - 1 else 0 end group by b.id"""
+
+
+@query(_alias_sql())
+def mp3_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.frames(spark, sf_dir).select("id", spectral.reduce_alias(F.col("x")).alias("y"))
+    return rows.select("id", F.round(F.aggregate(F.transform("y", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v), 5).alias("weighted"))
+
+
+@query(" union all ".join(f"""select {half} as half, id, round(sum(y * y), 5) as energy, round(sum(y * (n + 1)), 5) as weighted from (
+  select id, n, sum(x * cos(pi() / {4 * half} * (2 * n + 1 + {half}) * (2 * k + 1))) as y from (select id, n as k, x from ({LONG}) where n < {half}) cross join (select unnest(range({2 * half})) as n) group by id, n) group by id""" for half in (18, 6)))
+def mp3_imdct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long and short blocks of a frame's first lines."""
+    lines = views.frames_long(spark, sf_dir).select("id", F.col("n").alias("k"), F.col("x").alias("c"))
+    each = [spectral.plain_imdct(lines.where(F.col("k") < half), half).withColumn("half", F.lit(half)) for half in (18, 6)]
+    return each[0].union(each[1]).groupBy("half", "id").agg(F.round(F.sum(F.col("y") * F.col("y")), 5).alias("energy"), F.round(F.sum(F.col("y") * (F.col("n") + 1)), 5).alias("weighted"))
+
+
+@query(f"""select id, round(sum((n + 1) * (m + s)), 6) as aac_left, round(sum((n + 1) * (m - s)), 6) as aac_right, round(sum((n + 1) * (m + s) / sqrt(2)), 6) as mp3_left, round(sum((n + 1) * (m - s) / sqrt(2)), 6) as mp3_right
+  from (select a.id, a.n, a.x as m, b.x as s from ({LONG}) a join ({LONG}) b on a.id = b.id and b.n = a.n + 32 where a.n < 32) group by id""")
+def mid_side_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half of a frame as mid and the second as side lines, to left and right ones: as they are, and over the root of 2."""
+    rows = views.frames(spark, sf_dir).select("id", F.slice("x", 1, 32).alias("m"), F.slice("x", 33, 32).alias("s"))
+    weigh = lambda v: F.round(F.aggregate(F.transform(v, lambda y, i: y * (i + 1)), F.lit(0.0), lambda a, y: a + y), 6)
+    names = [(kind, scale) for kind, scale in (("aac", 1.0), ("mp3", math.sqrt(0.5)))]
+    made = [weigh(side).alias(f"{kind}_{name}") for kind, scale in names for name, side in zip(("left", "right"), spectral.left_right(F.col("m"), F.col("s"), scale), strict=True)]
+    return rows.select("id", *made)
+
+
+LPC = f"""with a as ({AUTO}), p as (select id, max(r) filter (lag = 0) as r0, max(r) filter (lag = 1) as r1, max(r) filter (lag = 2) as r2 from a group by id),
+  q as (select id, r0, r1, r2, r1 / r0 as k1, r0 * (1 - (r1 / r0) * (r1 / r0)) as e1 from p), s as (select *, (r2 - k1 * r1) / e1 as k2 from q)
+  select id, k1 - k2 * k1 as a1, k2 as a2 from s"""
+
+
+@query(f"""with x as (select id, n, x from ({LONG})),
+  r as (select id, n, n // 16 as part, case when n < 2 then 0 else x - (a1 * lag(x, 1) over w + a2 * lag(x, 2) over w) end as r from x join ({LPC}) using (id) window w as (partition by id order by n)),
+  g as (select id, part, least(greatest(trunc(20 * log10(greatest(sqrt(sum(r * r) / 16), 1e-6)) + 20), 0), 31)::int as gain,
+    string_agg(case when abs(r) > 0.05 then '01' || case when r > 0 then '1' else '0' end || lpad(bin(least(trunc(abs(r) * 3), 3)::int), 2, '0') else '00' end, '' order by n) as heard from r group by id, part),
+  c as (select u.id, u.n // 16 as part, d, sum(u.x * v.x) as r from x u cross join (select unnest(range(4, 41)) as d) join x v on v.id = u.id and v.n = u.n - d where d <= u.n // 16 * 16 group by all),
+  l as (select id, part, case when max(r) > 0 then arg_max(d, (r, -d)) else 4 end as lag from c group by id, part)
+  select id, len(b) + (8 - len(b) % 8) % 8 as bits, md5(b || repeat('0', ((8 - len(b) % 8) % 8)::int)) as digest from (
+    select g.id, '{int(1 / 3 * 63 + 0.5):06b}{int(2 / 3 * 63 + 0.5):06b}' || string_agg(lpad(bin(gain), 5, '0') || lpad(bin((coalesce(lag, 4) - 4)::int), 7, '0') || '0100' || heard, '' order by g.part) as b from g left join l on l.id = g.id and l.part = g.part group by g.id)""")
+def speex_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of four parts of 16 samples under predictors of order 2, as packed bits."""
+    auto = prediction.autocorrelation(views.frames_long(spark, sf_dir), 2).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "r"))), lambda s: s["r"]).alias("r"))
+    rows = views.frames(spark, sf_dir).join(auto.select("id", prediction.levinson(F.col("r"), 2)["a"].alias("a")), "id")
+    b = rows.select("id", bits_of(prediction.coded_frame(F.col("x"), F.col("a"), 2, 16, 4, 4, 40)).alias("b"))
+    return b.select("id", F.length("b").cast("long").alias("bits"), F.md5("b").alias("digest"))

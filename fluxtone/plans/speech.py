@@ -83,15 +83,15 @@ def subband_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speech.subband_energy(views.frames_long(spark, sf_dir), 64, RATE).select("id", "band", F.round("energy", 6).alias("energy"))
 
 
-#: Frames of ten streams; loudness rises and falls over a stream so that speech and silence both occur.
+#: Streams of fifty frames; loudness rises and falls over a stream so that speech and silence both occur.
 def _levels(spark, sf_dir) -> DataFrame:
     energy = speech.bands_of(speech.subband_energy(views.frames_long(spark, sf_dir), 64, RATE))
     loud = F.when((F.col("id") / 10).cast("int") % 25 < 4, 16000.0).otherwise(1500.0)
-    return energy.select((F.col("id") % 10).alias("stream"), F.col("id").alias("frame"), F.transform("energies", lambda e: e * loud).alias("energies"))
+    return energy.select(F.expr("id div 50").alias("stream"), F.col("id").alias("frame"), F.transform("energies", lambda e: e * loud).alias("energies"))
 
 
 def _vad_sql() -> str:
-    source = f"""select id % 10 as id, list(e order by frame) as x from (select id, id as frame, list(energy * case when (id // 10) % 25 < 4 then 16000.0::double else 1500.0::double end order by band) as e from ({ENERGY}) group by id) group by 1"""
+    source = f"""select id // 50 as id, list(e order by frame) as x from (select id, id as frame, list(energy * case when (id // 10) % 25 < 4 then 16000.0::double else 1500.0::double end order by band) as e from ({ENERGY}) group by id) group by 1"""
     lets, new = [], {}
     for b in range(6):
         speech_level = repr(speech.SPEECH[b] * (1 - 0.15))
@@ -118,20 +118,55 @@ def _numbered(spark, sf_dir) -> DataFrame:
     return views.series(spark, sf_dir).select("stream", (F.row_number().over(Window.partitionBy("stream").orderBy("seq")) - 1).cast("long").alias("n"), "x")
 
 
-@query()
+TURNS = f"select stream, row_number() over (partition by stream order by seq) - 1 as n, count(*) over (partition by stream) as size, x from ({SERIES})"
+
+
+def _noise_sql(size: int = 32, db: float = 12.0) -> str:
+    """Frames, their spectra as sums of products, the noise as a recursion over frames, and samples as sums over frames."""
+    hop, half, keep = size // 2, size // 2, 1 - 10 ** (-db / 20)
+    return f"""with recursive s as ({TURNS}),
+  v as (select stream, f, n - {hop} * f as j, x * 0.5 * (1 - cos(2 * pi() * (n - {hop} * f) / {size - 1})) as v from (select *, unnest([n // {hop}, n // {hop} - 1]) as f from s) where f >= 0 and {hop} * f + {size} <= size),
+  c as (select stream, f, k, sum(v * cos(2 * pi() * (k * j % {size}) / {size})) as re, -sum(v * sin(2 * pi() * (k * j % {size}) / {size})) as im from v cross join range({half + 1}) t(k) group by all),
+  m as (select stream, f, list(sqrt(re * re + im * im) order by k) as m from c group by all),
+  r as (select distinct stream, -1::bigint as f, list_resize([]::double[], {half + 1}, 0.0::double) as noise from m
+    union all select r.stream, r.f + 1, case when r.f + 1 < 10 then list_transform(list_zip(noise, m), lambda p: (p[1] * (r.f + 1) + p[2]) / (r.f + 2))
+      when list_sum(m) < 2 * list_sum(noise) then list_transform(list_zip(noise, m), lambda p: 0.9::double * p[1] + 0.1::double * p[2]) else noise end from r join m on r.stream = m.stream and m.f = r.f + 1),
+  g as (select c.stream, c.f, k, re, im, sqrt(re * re + im * im) as level, noise[k + 1] as noise from c join r on c.stream = r.stream and c.f = r.f),
+  y as (select stream, f * {hop} + j as n, sum(case when k in (0, {half}) then 1 else 2 end / {size}.0::double * greatest(level - {keep!r}::double * noise, 0.01::double * level) / greatest(level, 1e-12::double)
+      * (re * cos(2 * pi() * (k * j % {size}) / {size}) - im * sin(2 * pi() * (k * j % {size}) / {size}))) as y from g cross join range({size}) t(j) group by all)
+  select s.stream, count(*) as n, round(sum(case when size < {size} then x * x else coalesce(y * y, 0) end), 8) as energy from s left join y on s.stream = y.stream and s.n = y.n group by 1"""
+
+
+@query(_noise_sql())
 def noise_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of 32 samples, since streams are short here."""
     out = speech.suppress_noise(_numbered(spark, sf_dir), 12.0, 32)
-    return out.groupBy("stream").agg(F.count("*").alias("n"), F.round(F.sum(F.col("y") * F.col("y")), 4).alias("energy"))
+    return out.groupBy("stream").agg(F.count("*").alias("n"), F.round(F.sum(F.col("y") * F.col("y")), 8).alias("energy"))
+
+
+def _echo_sql(taps: int = 8) -> str:
+    heard = ", ".join(f"coalesce(lag(x, {k}) over w, 0)" for k in range(taps))
+    source = f"""select stream as id, list({{'d': d, 'h': h}} order by n) as v from (select stream, n, 0.6::double * x + 0.2::double * coalesce(lag(x, 2) over w, 0) as d, [{heard}] as h from ({TURNS}) window w as (partition by stream order by n)) group by 1"""
+    weights = [*speech.FIRST_WEIGHTS, *[0.0] * taps][:taps]
+    lets = [
+        ("e2", "s.d - list_inner_product(p_w, s.h)"),
+        ("power", "list_inner_product(s.h, s.h)"),
+        ("a2", "p_a + s.d * s.d"),
+        ("b2", "p_b + power"),
+        ("c2", "p_c + e2 * e2"),
+        ("w2", "case when not (a2 > 0.5::double * b2 and c2 > 0.1::double * b2) and power > 1e-6::double then list_transform(list_zip(p_w, s.h), lambda p: p[1] + 0.1::double / (power + 1e-6::double) * e2 * p[2]) else p_w end"),
+    ]
+    start = {"w": f"[{', '.join(f'{v}::double' for v in weights)}]", "a": "0::double", "b": "0::double", "c": "0::double", "e": "0::double"}
+    return f"{fold(source, 'v', start, lets, {'w': 'w2', 'a': 'a2', 'b': 'b2', 'c': 'c2', 'e': 'e2'})} select id as stream, count(*) as n, round(sum(p_e * p_e), 8) as left from r where i > 0 group by id"
 
 
-@query()
+@query(_echo_sql().replace("as left from", 'as "left" from'))
 def echo_cancel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The far end is the stream, the near end its echo."""
     far = _numbered(spark, sf_dir)
     echo = (0.6 * F.col("x") + 0.2 * F.coalesce(F.lag("x", 2).over(Window.partitionBy("stream").orderBy("n")), F.lit(0.0))).alias("x")
     out = speech.cancel_echo(far.select("stream", "n", echo), far, 8)
-    return out.groupBy("stream").agg(F.count("*").alias("n"), F.round(F.sum(F.col("y") * F.col("y")), 4).alias("left"))
+    return out.groupBy("stream").agg(F.count("*").alias("n"), F.round(F.sum(F.col("y") * F.col("y")), 8).alias("left"))
 
 
 def _preprocess_sql() -> str:
@@ -146,3 +181,45 @@ def voice_preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.frames(spark, sf_dir).select("id", filters.biquad(F.col("x"), filters.Biquad.design("highpass", RATE, 80)).alias("y"))
     rms = F.sqrt(F.aggregate("y", F.lit(0.0), lambda a, v: a + v * v) / F.size("y"))
     return rows.select("id", F.round(rms, 6).alias("rms"), (rms > 0.1).alias("kept"))
+
+
+#: Streams of five frames in a row, and what brings their energies to the detector's levels.
+CHAIN, SCALE = 5, 6500.0
+
+
+def _chain_sql() -> str:
+    """High-pass over a stream's samples, the detector over its frames, and the gain over the samples of frames with speech."""
+    f = filters.Biquad.design("highpass", RATE, 80)
+    y = f"{f.b0!r}::double * s + {f.b1!r}::double * p_x1 + {f.b2!r}::double * p_x2 - {f.a1!r}::double * p_y1 - {f.a2!r}::double * p_y2"
+    passed = f"""select id, (i - 1) // 64 as frame, (i - 1) % 64 as n, p_y1 as y from (
+      {fold(f"select id // {CHAIN} as id, flatten(list(x order by id)) as x from ({FRAMES}) group by 1", "x", {k: "0::double" for k in ("x1", "x2", "y1", "y2")}, [("o", y)], {"x1": "s", "x2": "p_x1", "y1": "o", "y2": "p_y1"})} select id, i, p_y1 from r where i > 0)"""
+    energy = f"""select id, frame, band, sum(re * re + im * im) / (count(*) * 64) * {SCALE}::double as energy from (
+      select id, frame, band, k, sum(y * cos(2 * pi() * ((k * n) % 64) / 64)) as re, sum(y * sin(2 * pi() * ((k * n) % 64) / 64)) as im
+      from passed cross join (values {", ".join(f"({b}, {k})" for b, k in BINS)}) b(band, k) group by all) group by id, frame, band"""
+    lets, new = [], {}
+    for b in range(6):
+        level = repr(speech.SPEECH[b] * (1 - 0.15))
+        lets.append((f"c{b}", f"case when s[{b + 1}] > {level}::double then 1.0::double when s[{b + 1}] > p_n{b} * 1.2::double then (s[{b + 1}] - p_n{b} * 1.2::double) / ({level}::double - p_n{b} * 1.2::double + 1) else 0.0::double end"))
+        new[f"n{b}"] = f"p_n{b} * 0.95::double + s[{b + 1}] * 0.05::double"
+    new["p"] = "least(greatest((" + " + ".join(f"c{b}" for b in range(6)) + ") / 6, 0), 1)"
+    detector = fold(f"select id, list(e order by frame) as x from (select id, frame, list(energy order by band) as e from ({energy}) group by all) group by id", "x", {**{f"n{b}": f"{speech.NOISE[b]}::double" for b in range(6)}, "p": "0.0::double"}, lets, new)
+    attack, release = (math.exp(-1000 / (RATE * ms)) for ms in (10.0, 500.0))
+    gain = fold(
+        "select id, list({'v': y, 'f': frame} order by frame, n) as x from passed join heard using (id, frame) where speech group by id",
+        "x",
+        {"e": "0.001::double", "g": "1.0::double", "o": "0.0::double", "f": "0::bigint"},
+        [("e2", "0.99::double * p_e + 0.01::double * s.v * s.v"), ("wanted", f"least({10 ** (-18 / 20)!r}::double / sqrt(e2), 10.0::double)"), ("k", f"case when wanted < p_g then {attack!r}::double else {release!r}::double end"), ("g2", "k * p_g + (1 - k) * wanted")],
+        {"e": "e2", "g": "g2", "o": "s.v * g2", "f": "s.f"},
+    )
+    return f"""with passed as ({passed}), said as (select id, i - 1 as frame, p_p as p from ({detector} select id, i, p_p from r where i > 0)),
+      heard as (select *, coalesce(frame - last_value(case when p > 0.4::double then frame end ignore nulls) over (partition by id order by frame rows between unbounded preceding and current row) <= 15, false) as speech from said),
+      levelled as (select id, f as frame, sum(o * o) as energy from ({gain} select id, p_o as o, p_f as f from r where i > 0) group by all)
+      select h.id as stream, h.frame::bigint as frame, round(p, 5) as probability, speech, round(coalesce(energy, 0), 6) as energy from heard h left join levelled l using (id, frame)"""
+
+
+@query(_chain_sql())
+def voice_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of frames through the whole preprocessing."""
+    rows = views.frames(spark, sf_dir).select(F.expr(f"id div {CHAIN}").alias("stream"), (F.col("id") % CHAIN).alias("frame"), "x")
+    out = speech.preprocess(rows, RATE, scale=SCALE)
+    return out.select("stream", "frame", F.round("probability", 5).alias("probability"), "speech", F.round(F.aggregate("y", F.lit(0.0), lambda a, v: a + v * v), 6).alias("energy"))

@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fluxtone.functions.headers import wav_info
+from fluxtone.operators.containers import ogg_packets
 from fluxtone.plans import views
-from fluxtone.plans.oracle import SERIES
-from fluxtone.streaming import jobs
+from fluxtone.plans.oracle import PACKETS, SERIES
+from fluxtone.streaming import jobs, sinks
 
 QUERIES, ORACLE = {}, {}
 
@@ -60,3 +62,25 @@ def stream_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.withColumn("lot", F.pmod(F.xxhash64("seq"), F.lit(4))).repartition(4, "lot").drop("lot").write.parquet(path)
     out = jobs.in_order(jobs.finish(jobs.reorder(jobs.read(spark, path, 1), SLOTS, late=True), "reorder"))
     return out.select("stream", "seq", F.round("x", 6).alias("x"), "place")
+
+
+@query(f"""with p as (select ssrc as stream, text, row_number() over (partition by ssrc order by seq) as k, count(*) over (partition by ssrc) as n from ({PACKETS})),
+  w as (select stream, string_agg(text, '' order by k) as text from p group by stream)
+  select 'opus' as codec, stream, (k + 1)::int as k, 3840 + 960 * k as granule, true as good, md5(text) as digest from p
+  union all select 'opus', stream, j::int, case when j < 2 then 0 else 3840 + 960 * n end, true, case when j = 0 then md5(unhex('{sinks.OPUS_HEAD.hex()}')) when j = 1 then md5(unhex('{sinks.OPUS_TAGS.hex()}')) else md5('') end
+    from (select stream, n, unnest([0, 1, n + 2]) as j from p where k = 1)
+  union all select 'pcm', stream, 0, octet_length(encode(text)), true, md5(text) from w
+  union all select 'aac', stream, 0, octet_length(encode(text)), true, md5(text) from w""")
+def stream_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that come in three batches, through the writers of three codecs, and their files read back."""
+    rows = views.packets(spark, sf_dir)
+    base = f"{jobs.shared_folder(spark)}/sinks-{uuid.uuid4().hex}"
+    for lot, some in enumerate((F.col("seq") < 2, F.col("seq").between(2, 4), F.col("seq") > 4)):
+        rows.where(some).select(F.col("ssrc").alias("stream"), "seq", "b").coalesce(1).write.parquet(f"{base}/in/{lot}")
+    arrivals = spark.readStream.schema("stream long, seq long, b binary").option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+    files = {codec: sinks.write_streams(arrivals, codec, f"{base}/{codec}") for codec in ("opus", "pcm", "aac")}
+    opus = ogg_packets(files["opus"].withColumnRenamed("stream", "id")).select(F.lit("opus").alias("codec"), F.col("id").alias("stream"), "k", "granule", "good", F.md5("payload").alias("digest"))
+    wav = files["pcm"].withColumn("w", wav_info(F.col("b"))).withColumn("body", F.substring("b", F.lit(45), F.octet_length("b")))
+    wav = wav.select(F.lit("pcm").alias("codec"), "stream", F.lit(0).alias("k"), F.col("w.data_size").alias("granule"), (F.col("w.rate") == 24000).alias("good"), F.md5("body").alias("digest"))
+    plain = files["aac"].select(F.lit("aac").alias("codec"), "stream", F.lit(0).alias("k"), F.octet_length("b").cast("long").alias("granule"), F.lit(True).alias("good"), F.md5("b").alias("digest"))
+    return opus.union(wav).union(plain)
