@@ -1,21 +1,25 @@
 """Exact top-k search by inner product, a block at a time.
 
-Vectors become integer vectors, floor(256 * x) in each component. Candidates are dealt by a hash into shards of
-about ``SHARD`` vectors; a shard sorts its vectors by direction and cuts them into document-range blocks of
-``BLOCK`` vectors. A block keeps the largest and the smallest value of each component (its term maxima): their
-products with a query's components, summed, bound every score in the block from above. For each query the
-blocks come in falling order of that bound and are scored through their forward index (the vectors
-themselves) until the bound falls below the query's k-th best score so far. Ties go to the smaller id, so a
-block whose bound equals that score is still read unless all its ids are larger.
-
-Every query meets every shard once, as rows that are streamed past it; a task holds one shard and one batch of
-queries. Shards return k rows a query, and the best k of those are the result: all of this is exact. The work
-is queries times vectors by its nature, less what the bounds leave out.
+Vectors become integer vectors, floor(256 * x) in each component. Candidates are dealt by ranges of (leading
+component, its value) into shards, so that a shard holds vectors of like direction, and a shard is cut into
+document-range blocks of ``BLOCK`` vectors in the same order. A block keeps the largest and the smallest value of
+each component (its term maxima): their products with a query's components, summed, bound every score in the block
+from above. For each query the blocks come in falling order of that bound and are scored through their forward
+index (the vectors themselves) until the bound falls below the query's k-th best score so far. Ties go to the
+smaller id, so a block whose bound equals that score is still read unless all its ids are larger.
+
+1. Each query meets the shard that it lies in itself, which gives it k scores. The last of them can only be too low.
+2. Each query meets the other shards with that score as the start of its k-th best, so that blocks and whole shards
+   of other directions fall below at once. Shards return what beats it, k rows a query at most.
+
+The best k of both are the result: all of this is exact. A task has one cell of a grid at a time, a shard and a
+batch of queries, whose numbers are the partitions' own; cells are held one after another. The work is queries times
+vectors by its nature, less what the bounds leave out.
 
 Defined cases: vectors that are null or hold a null or a non-finite component take no part, as queries or as
 candidates; missing components of shorter vectors count as 0; with fewer candidates than k a query gets them
 all; a query never gets its own row (the same vec_id); other rows with equal vectors it does; rows without
-vec_id take no part. Scores beyond 64 bits are set to the nearest 64-bit number.
+vec_id take no part. Scores beyond 63 bits are set to the nearest number of 63 bits and a sign.
 """
 
 from __future__ import annotations
@@ -29,52 +33,76 @@ from pyspark.sql import functions as F
 
 from fluxtone.llm.common import stored
 
-SHARD, BLOCK = 16_384, 128
+#: Vectors of a shard at most and at least (small tables have ``SHARDS`` shards), queries of a batch, vectors of a block.
+SHARD, LEAST_SHARD, SHARDS, BATCH, BLOCK = 65_536, 1024, 16, 16_384, 128
+
+_NONE = np.iinfo(np.int64).min
+_LAST = np.iinfo(np.int64).max
 
 
 def _ints(rows: list[list[float]], dims: int) -> np.ndarray:
-    """Integer components as exact doubles, or as Python integers where doubles can't hold all sums."""
+    """Integer components as doubles, or as Python integers where 256 times a component isn't exact in a double."""
     out = np.zeros((len(rows), dims))
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
+    if out.size and np.abs(out).max() >= 2.0**44:
+        return np.array([[int(v) * 256 if abs(v) >= 2.0**53 else int(np.floor(v * 256.0)) for v in r] for r in out], dtype=object).reshape(out.shape)
     return np.floor(out * 256.0)
 
 
+def _whole(a: np.ndarray) -> np.ndarray:
+    """The same numbers as Python integers, which have no largest one."""
+    return np.array([[int(v) for v in r] for r in a], dtype=object).reshape(a.shape)
+
+
+def _most(a: np.ndarray) -> int:
+    return int(np.abs(a).max()) if a.size else 0
+
+
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact a @ b.T, as 64-bit integers."""
-    if a.size and b.size and np.abs(a).max() * np.abs(b).max() * a.shape[1] >= 2.0**53:
-        whole = np.array([[int(v) for v in r] for r in a], dtype=object) @ np.array([[int(v) for v in r] for r in b], dtype=object).T
-        return np.clip(whole, -(2**63), 2**63 - 1).astype(np.int64)
-    return (a @ b.T).astype(np.int64)
+    """Exact a @ b.T, as 64-bit integers; the operands are doubles only where all sums are exact in them."""
+    s = a @ b.T
+    return np.clip(s, _NONE + 1, _LAST).astype(np.int64) if s.dtype == object else s.astype(np.int64)
 
 
 class Shard:
     """Blocks of candidate vectors with bounds."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        vectors = _whole(vectors) if vectors.dtype == object else vectors  # batches may have come in both kinds
         # near vectors next to each other: by the leading component of each, and how large it is
         lead = np.abs(vectors).argmax(axis=1)
         value = vectors[np.arange(len(vectors)), lead]
-        order = np.lexsort((ids, value, lead))
-        self.ids, self.vectors = ids[order], vectors[order]
+        order = np.array(sorted(range(len(ids)), key=lambda i: (lead[i], value[i], ids[i]))) if vectors.dtype == object else np.lexsort((ids, value, lead))
+        self.ids, self.vectors, self.size = ids[order], vectors[order], _most(vectors)
         cuts = range(0, len(ids), BLOCK)
         self.most = np.array([self.vectors[c : c + BLOCK].max(axis=0) for c in cuts])
         self.least = np.array([self.vectors[c : c + BLOCK].min(axis=0) for c in cuts])
         self.first = np.array([self.ids[c : c + BLOCK].min() for c in cuts])
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids, each queries x k, best first; places without a candidate have the largest id."""
-        m, empty = len(queries), np.iinfo(np.int64).min
-        best, who = np.full((m, k), empty), np.full((m, k), np.iinfo(np.int64).max)
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        bound = up @ self.most.T + down @ self.least.T
-        bound += np.abs(bound) * 1e-9  # rounding never makes a bound too small
+    def whole(self) -> Shard:
+        if self.vectors.dtype != object:
+            self.vectors, self.most, self.least = _whole(self.vectors), _whole(self.most), _whole(self.least)
+        return self
+
+    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids, each queries x k, best first; places without a candidate have the largest id.
+
+        ``start``: scores that the k-th best reaches in any case; what is below them may be left out.
+        """
+        if queries.dtype == object or self.vectors.dtype == object or _most(queries) * self.size * queries.shape[1] >= 2**53:
+            self.whole()
+            queries = _whole(queries)
+        best, who = np.full((len(queries), k), _NONE), np.full((len(queries), k), _LAST)
+        if start is not None:
+            best[:] = start[:, None]
+        # sums of products are exact here, so bounds need no slack
+        bound = np.maximum(queries, 0) @ self.most.T + np.minimum(queries, 0) @ self.least.T
         order = np.argsort(-bound, axis=1, kind="stable")
-        live = np.arange(m)
+        live = np.arange(len(queries))
         for turn in range(bound.shape[1]):
             block = order[live, turn]
-            reach = bound[live, block]
-            near = reach >= best[live, -1]  # bounds only fall from here on
+            near = bound[live, block] >= best[live, -1]  # bounds only fall from here on
             live, block = live[near], block[near]
             if not len(live):
                 break
@@ -82,11 +110,10 @@ class Shard:
             for b in np.unique(block[read]):
                 rows = live[read & (block == b)]
                 own = self.ids[b * BLOCK : (b + 1) * BLOCK]
-                s = _dot(queries[rows], self.vectors[b * BLOCK : (b + 1) * BLOCK])
-                s = np.concatenate([best[rows], s], axis=1)
+                s = np.concatenate([best[rows], _dot(queries[rows], self.vectors[b * BLOCK : (b + 1) * BLOCK])], axis=1)
                 i = np.concatenate([who[rows], np.broadcast_to(own, (len(rows), len(own)))], axis=1)
-                s[:, k:][i[:, k:] == ids[rows][:, None]] = empty
-                i[s == empty] = np.iinfo(np.int64).max
+                s[:, k:][i[:, k:] == ids[rows][:, None]] = _NONE
+                i[s == _NONE] = _LAST
                 top = _top(s, i, k)
                 best[rows], who[rows] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
         return best, who
@@ -97,40 +124,58 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, ~scores), axis=1)[:, :k]
 
 
-def top_k(vectors: DataFrame, k: int = 5, query_step: int = 50) -> DataFrame:
-    """Queries are the rows whose vec_id is divisible by ``query_step``: query_id, rank (from 1), vec_id, score."""
-    ok = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(ok)
-    rows = stored(rows, "vectors")
-    facts = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    shards, dims = max(1, -(-facts[0] // SHARD)), max(1, facts[1] or 1)
-    mine = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "vec_id", "v")
-    asked = rows.where(F.col("vec_id") % query_step == 0).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "v")
-    dealt = mine.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "vec_id")
+def _searched(cells: DataFrame, number: int, k: int, dims: int) -> DataFrame:
+    """query_id, vec_id, score of each of ``number`` cells' best. ``cells``: cell, kind (0 candidate, 1 query), vec_id, v, start."""
+    tasks = min(number, 8 * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cells.repartitionById(tasks, F.pmod("cell", F.lit(tasks)).cast("int")).sortWithinPartitions("cell", "kind", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held_ids, held, shard = None, [], [], None
+        current, held, shard = None, [], None
         for batch in batches:
-            place, kind, ids = (batch[c].to_numpy(zero_copy_only=False) for c in ("shard", "kind", "vec_id"))
+            place, kind, ids, start = (batch[c].to_numpy(zero_copy_only=False) for c in ("cell", "kind", "vec_id", "start"))
             data = _ints(batch["v"].to_pylist(), dims)
             cuts = np.flatnonzero((np.diff(place) != 0) | (np.diff(kind) != 0)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(place)], strict=True):
                 if place[a] != current:
-                    current, held_ids, held, shard = place[a], [], [], None
+                    current, held, shard = place[a], [], None
                 if kind[a] == 0:
-                    held_ids.append(ids[a:b])
-                    held.append(data[a:b])
+                    held.append((ids[a:b], data[a:b]))
                     continue
-                shard = shard or Shard(np.concatenate(held_ids), np.concatenate(held)) if held else None
+                if shard is None and held:
+                    shard, held = Shard(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])), []
                 if shard is None:
                     continue
-                score, who = shard.search(ids[a:b], data[a:b], k)
-                real = who != np.iinfo(np.int64).max
+                score, who = shard.search(ids[a:b], data[a:b], k, start[a:b])
+                real = who != _LAST
                 yield pa.record_batch({"query_id": pa.array(np.repeat(ids[a:b], k).reshape(-1, k)[real]), "vec_id": pa.array(who[real]), "score": pa.array(score[real])})
 
-    local = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
+    return dealt.mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def top_k(vectors: DataFrame, k: int = 5, query_step: int = 50) -> DataFrame:
+    """Queries are the rows whose vec_id is divisible by ``query_step``: query_id, rank (from 1), vec_id, score."""
+    ok = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(ok)
+    size = F.transform("v", lambda x: F.abs(x))
+    rows = rows.withColumn("lead", F.array_position(size, F.array_max(size))).withColumn("value", F.when(F.col("lead") > 0, F.col("v")[(F.col("lead") - 1).cast("int")]))
+    facts = rows.agg(F.count("*"), F.max(F.size("v")), F.count(F.when(F.col("vec_id") % query_step == 0, 1))).first()
+    each = min(SHARD, max(LEAST_SHARD, -(-facts[0] // SHARDS)))
+    shards, batches, dims = max(1, -(-facts[0] // each)), max(1, -(-facts[2] // BATCH)), max(1, facts[1] or 1)
+    # a shard is what one task of the range sort writes; the written table fixes it
+    rows = stored(rows.repartitionByRange(shards, "lead", "value", "vec_id").select("vec_id", "v", F.spark_partition_id().cast("long").alias("shard")), "vectors")
+    shards = (rows.agg(F.max("shard")).first()[0] or 0) + 1
+    asked = rows.where(F.col("vec_id") % query_step == 0).withColumn("batch", F.pmod(F.xxhash64("vec_id"), F.lit(batches)))
+    cell = lambda s, b: (F.col(s) * batches + F.col(b)).alias("cell")
+    mine = rows.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1)))).select(cell("shard", "batch"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(_NONE).alias("start"))
+    names = ["cell", "kind", "vec_id", "v", "start"]
+    at_home = asked.select(cell("shard", "batch"), F.lit(1).alias("kind"), "vec_id", "v", F.lit(_NONE).alias("start"))
+    home = stored(_searched(mine.unionByName(at_home), shards * batches, k, dims), "home")
+    floor = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(_NONE)).alias("start"))
+    far = asked.join(floor, F.col("vec_id") == F.col("query_id"), "left").withColumn("start", F.coalesce("start", F.lit(_NONE)))
+    far = far.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("other <> shard").withColumn("kind", F.lit(1))
+    away = _searched(mine.unionByName(far.select(cell("other", "batch"), *names[1:])), shards * batches, k, dims)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return home.unionByName(away).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 ORACLE = """
