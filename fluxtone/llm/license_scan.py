@@ -175,38 +175,44 @@ class Index:
         return np.repeat(found, each), self.owner[at], self.place[at]
 
 
-def align(template: np.ndarray, doc: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
-    """Best local alignment with j - i within ``band`` of ``diagonal``: matched words, first and last matched place in doc."""
-    n, width = len(template), 2 * band + 1
-    # column c of row i is place i + diagonal - band + c; places outside of doc match nothing and score nothing
-    at = np.arange(n + width) + diagonal - band
-    inside = (at >= 0) & (at < len(doc))
-    around = np.zeros(n + width, np.uint64)
-    around[inside] = doc[at[inside]]
-    column, big = np.arange(width), 2 * width
-    score, matched, first, last = np.zeros(width, np.int64), np.zeros(width, np.int64), np.full(width, -1), np.full(width, -1)
-    best = (0, 0, -1, -1)
+#: Alignments of one template advance together, as many as have about so many columns in all.
+COLUMNS = 1 << 18
+
+
+def align_all(template: np.ndarray, doc: np.ndarray, diagonals: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each diagonal the best local alignment with j - i within ``band`` of it: matched words, first and last matched place in doc."""
+    n, width, m = len(template), 2 * band + 1, len(diagonals)
+    column, big, row = np.arange(width), 2 * width, np.arange(m)
+    start = np.asarray(diagonals)[:, None] - band + column  # of the first template word; the next has the next places
+    score, matched = np.zeros((m, width), np.int64), np.zeros((m, width), np.int64)
+    first, last = np.full((m, width), -1), np.full((m, width), -1)
+    best = np.zeros((4, m), np.int64)
+    best[2:] = -1
     for i in range(n):
-        place = at[i : i + width]
-        same = (around[i : i + width] == template[i]) & inside[i : i + width]
+        place = start + i
+        inside = (place >= 0) & (place < len(doc))  # places outside of doc match nothing
+        same = inside & (doc[np.where(inside, place, 0)] == template[i])
         base = np.where(same, score + 2, score - 1)
-        m, f, e = matched + same, np.where(same & (first < 0), place, first), np.where(same, place, last)
-        up = np.flatnonzero(score[1:] - 1 > base[:-1])  # a word of the template left out
-        base[up], m[up], f[up], e[up] = score[up + 1] - 1, matched[up + 1], first[up + 1], last[up + 1]
+        held, f, e = matched + same, np.where(same & (first < 0), place, first), np.where(same, place, last)
+        up = np.zeros((m, width), bool)
+        up[:, :-1] = score[:, 1:] - 1 > base[:, :-1]  # a word of the template left out
+        for new, old in ((base, score - 1), (held, matched), (f, first), (e, last)):
+            new[:, :-1] = np.where(up[:, :-1], old[:, 1:], new[:, :-1])
         none = base <= 0
-        base[none] = 0
-        m[none], f[none], e[none] = 0, -1, -1
+        base[none], held[none], f[none], e[none] = 0, 0, -1, -1
         # words of the document left out: the best column at or before each, the last of equal ones
-        run = np.maximum.accumulate((base + column) * big + column)
-        origin = run % big
-        score, matched, first, last = base[origin] - (column - origin), m[origin], f[origin], e[origin]
+        origin = np.maximum.accumulate((base + column) * big + column, axis=1) % big
+        score, matched, first, last = np.take_along_axis(base, origin, 1) - (column - origin), *(np.take_along_axis(x, origin, 1) for x in (held, f, e))
         none = score <= 0
-        if none.any():
-            score[none], matched[none], first[none], last[none] = 0, 0, -1, -1
-        top = int(score.argmax())
-        if score[top] > best[0]:
-            best = (int(score[top]), int(matched[top]), int(first[top]), int(last[top]))
-    return best[1:]
+        score[none], matched[none], first[none], last[none] = 0, 0, -1, -1
+        top = score.argmax(axis=1)
+        better = score[row, top] > best[0]
+        best[:, better] = np.stack([x[row, top] for x in (score, matched, first, last)])[:, better]
+    return best[1], best[2], best[3]
+
+
+def align(template: np.ndarray, doc: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
+    return tuple(int(x[0]) for x in align_all(template, doc, np.array([diagonal]), band))
 
 
 def most_matched(template: np.ndarray, doc: np.ndarray) -> int:
@@ -227,20 +233,21 @@ def scan_text(index: Index, h: np.ndarray, found: tuple[np.ndarray, np.ndarray,
         band = BAND + len(template) // 8
         diagonals = np.sort(place[own] - inner[own])
         cuts = np.flatnonzero(np.diff(diagonals) > band) + 1
-        spans = []
+        spans, wanted = [], []
         for cluster in np.split(diagonals, cuts):
             # a long cluster of shifting diagonals is read in steps of the band
             low, high = int(cluster[0]), int(cluster[-1])
             for diagonal in [(low + high) // 2] if high - low <= band else range(low, high + 1, band):
-                a = max(0, diagonal - band)
-                part = h[a : diagonal + len(template) + band]
-                if len(part) < LEAST * len(template) or most_matched(template, part) < LEAST * len(template):
-                    continue
-                matched, first, last = align(template, part, diagonal - a, band)
+                part = h[max(0, diagonal - band) : diagonal + len(template) + band]
+                if len(part) >= LEAST * len(template) and most_matched(template, part) >= LEAST * len(template):
+                    wanted.append(diagonal)
+        many = max(1, COLUMNS // (2 * band + 1))
+        for at in range(0, len(wanted), many):
+            for matched, first, last in zip(*align_all(template, h, np.array(wanted[at : at + many]), band), strict=True):
                 if matched >= LEAST * len(template):
-                    spans.append((matched / len(template), a + first, a + last))
+                    spans.append((int(matched) / len(template), int(first), int(last)))
         taken: list[tuple[int, int]] = []
-        for coverage, first, last in sorted(spans, key=lambda s: (-s[0], s[2] - s[1], s[1])):
+        for coverage, first, last in sorted(set(spans), key=lambda s: (-s[0], s[2] - s[1], s[1])):
             if all(last < x or first > y for x, y in taken):
                 taken.append((first, last))
                 out.append((int(t), coverage, first, last))
