@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (local tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where all run in one process.
+
+    On a cluster without that setting there is no such folder, and this fails.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='fluxtone-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_folder()
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='fluxtone-')}"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -61,6 +71,11 @@ def drop_stored(df: DataFrame) -> None:
     remove(df.sparkSession, df._stored_path)
 
 
+def row_hash(docs: DataFrame, struct: str) -> F.Column:
+    """64-bit hash of a row of ``docs`` held in the column ``struct``; maps, which have no hash, are left out."""
+    return F.xxhash64(*[F.col(f"{struct}.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+
+
 def held_out() -> F.Column:
     """True for the fold that no model here may learn from."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2

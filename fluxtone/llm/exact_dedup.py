@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxtone.llm.common import stored
+from fluxtone.llm.common import row_hash, stored
 
 SALTS = 64
 BLANKS = "[\\x20\\x09-\\x0D]+"
@@ -72,7 +72,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     key = F.concat_ws(" ", "_sha", "_id").alias("_key")
     met = named.select("row", "_points", key).join(keep.select(key), "_key", "left_semi")
     # rows that repeat both doc_id and content: the longest original, as the operator keeps
-    turn = F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("_points")))
+    turn = F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("_points"), row_hash(docs, "row")))
     return met.withColumn("_turn", turn).where("_turn = 1").select("row.*")
 
 

@@ -11,8 +11,7 @@ doc_id into 64, and over the totals of the slots of a source. No task holds a wh
 function of the rows: a rerun, or a retried task, gives the same copies.
 
 Defined cases: a null text has size 0; documents of size 0 are never taken; a null source is a source of its
-own, the last; rows that are alike (repeated doc_id) are counted apart, and which of them gets a copy makes no
-difference to the result. Only doc_id, text and source are read, other columns may have any name.
+own, the last; rows that are alike (repeated doc_id) are counted apart. Only doc_id, text and source are read, other columns may have any name.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxtone.llm.common import stored
+from fluxtone.llm.common import row_hash, stored
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -80,13 +79,14 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, with all their columns.
 
-    Rows that share doc_id, source and size (repeated rows) are given the copies in turn.
+    Rows that share doc_id, source and size are given the copies in turn, in order of a hash of the whole row: a
+    retried task gives each the same number again. Rows that are alike in all columns are interchangeable.
     """
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     # one key without nulls for the windows and the join, so that whole rows are shuffled once
     key = lambda i, s, z: F.concat_ws(" ", F.col(z), F.coalesce(F.col(i).cast("string"), F.lit("-")), F.concat(F.lit("s"), F.col(s))).alias("key")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("i"), F.col("source").cast("string").alias("s"), size.alias("z")).select("row", key("i", "s", "z"))
-    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(row_hash(docs, "row"))))
     # rows of one key have copies that differ by one at most
     taken = copies(docs, **how).select("copies", key("doc_id", "source", "size")).groupBy("key").agg(F.sum("copies").alias("total"), F.count("*").alias("n")).where("total > 0")
     each = F.expr("cast(total div n + if(turn <= total % n, 1, 0) as int)")
