@@ -160,8 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     n_good, n_all = good.where(~held_out()).count(), docs.count()
     if not n_good or not n_all:
         return None
-    mark = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1_000_000)) / 1_000_000.0
-    rows = rows.withColumn("mark", mark)
+    # repeated rows have one mark, and count once
+    rows = rows.withColumn("key", F.xxhash64("text", "doc_id")).withColumn("mark", F.pmod("key", F.lit(1_000_000)) / 1_000_000.0)
     share_p, share_u = 1.2 * MOST / n_good + 1e-5, 2.0 * MOST / n_all + 1e-5
     # ids of both kinds first, so that texts of picked rows only are measured
     picked = rows.where(F.col("mark") < max(share_p, share_u)).join(good, "doc_id", "left").join(known, "doc_id", "left")
@@ -171,13 +171,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in parts(batch["text"], 1 << 19):
-                yield pa.record_batch({"kind": batch["kind"][first : first + len(texts)], "x": pa.array([v.tobytes() for v in features(texts)], pa.binary())})
+                cut = slice(first, first + len(texts))
+                yield pa.record_batch({"kind": batch["kind"][cut], "key": batch["key"][cut], "x": pa.array([v.tobytes() for v in features(texts)], pa.binary())})
 
-    got = picked.select(F.col("text").cast("string").alias("text"), positive.alias("kind")).mapInArrow(measure, "kind boolean, x binary").limit(6 * MOST).toPandas().sort_values(["kind", "x"])
+    picked = picked.select("key", positive.alias("kind"), F.col("text").cast("string").alias("text")).dropDuplicates(["kind", "key"])
+    # distinct rows by now, whose number the shares hold near 1.2 and 2 times the bound; those of least key teach
+    got = picked.mapInArrow(measure, "kind boolean, key long, x binary").toPandas().sort_values(["kind", "key"])
     x = np.array([np.frombuffer(v, np.float32) for v in got["x"]])
     kind = got["kind"].to_numpy(bool)
-    rng = np.random.default_rng(SEED)
-    pos, unl = rng.permutation(x[kind])[:MOST], rng.permutation(x[~kind])[:MOST] if (~kind).any() else rng.permutation(x)[:MOST]
+    pos, unl = x[kind][:MOST], x[~kind][:MOST] if (~kind).any() else x[:MOST]
     return train(pos, unl) if len(pos) else None
 
 
