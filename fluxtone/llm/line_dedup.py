@@ -25,7 +25,7 @@ By window (the default), ``least_words`` is asked of every ``run`` consecutive l
 A first place keeps its lines, unless it laps over a later one (a line that a text repeats at once ``run`` times
 and more).
 
-Defined cases: a null text is an empty one; texts without lines of words stay as they are; rows without doc_id
+Defined cases: a null text has no lines, and stays null (the query counts it as empty); texts without lines of words stay as they are; rows without doc_id
 come last in order; repeated rows (one doc_id, one text) are one document, and keep or lose the same lines, so
 a repeat of a whole row isn't a repeat of lines; rows that share doc_id but not text are ordered by a hash of
 their texts. Only doc_id and text are read, other columns may have any name.

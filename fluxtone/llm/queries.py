@@ -28,7 +28,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.line_dedup(table(spark, sf_dir, "documents"), run=2, least_words=20, long_words=50, by_run=True)
-    return found.select("doc_id", "n_lines", "n_removed", "removed", F.char_length("text").alias("chars_left"), F.crc32("text").alias("left_crc32"))
+    left = F.coalesce("text", F.lit(""))
+    return found.select("doc_id", "n_lines", "n_removed", "removed", F.char_length(left).alias("chars_left"), F.crc32(left).alias("left_crc32"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
