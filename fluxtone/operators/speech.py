@@ -194,7 +194,7 @@ class _Canceller:
         return np.zeros(0, np.int64), np.zeros(0)
 
 
-def cancel_echo(near: DataFrame, far: DataFrame, taps: int = 256, rate: float = 0.1, bar: float = 0.5) -> DataFrame:
+def cancel_echo(near: DataFrame, far: DataFrame, taps: int = 256, rate: float = 0.5, bar: float = 0.5) -> DataFrame:
     """stream, n, y: what is left of the near end after an adaptive filter of the far end.
 
     Both ends are joined on (stream, n), missing far samples are 0. The weights hold still while the near end talks

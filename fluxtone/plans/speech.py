@@ -165,7 +165,7 @@ def echo_cancel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The far end is the stream, the near end its echo."""
     far = _numbered(spark, sf_dir)
     echo = (0.6 * F.col("x") + 0.2 * F.coalesce(F.lag("x", 2).over(Window.partitionBy("stream").orderBy("n")), F.lit(0.0))).alias("x")
-    out = speech.cancel_echo(far.select("stream", "n", echo), far, 8)
+    out = speech.cancel_echo(far.select("stream", "n", echo), far, 8, rate=0.1)
     return out.groupBy("stream").agg(F.count("*").alias("n"), F.round(F.sum(F.col("y") * F.col("y")), 8).alias("left"))
 
 
