@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxtone.llm.common import table
-from fluxtone.llm import exact_dedup, filter_audit, language_id, license_scan, line_dedup, mixing, packing, quality, sharding, topk
+from fluxtone.llm import divergence, exact_dedup, filter_audit, language_id, license_scan, line_dedup, mixing, packing, quality, sharding, topk
 from fluxtone.llm.ngram_join import ngram_jaccard_join
 
 
@@ -52,6 +52,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_license_scan": op10_license_scan,
+    "op11_source_divergence": op11_source_divergence,
     "op12_filter_audit": op12_filter_audit,
 }
 
@@ -74,5 +79,6 @@ ORACLE_SQL = {
     "op5_exact_top_k": topk.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
     "op12_filter_audit": filter_audit.ORACLE,
 }
