@@ -46,7 +46,7 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
+def remove_at_exit(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may be gone by then
         if spark.sparkContext._jsc is not None:
             remove(spark, path)
@@ -61,7 +61,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove_at_exit, spark, path)
+    atexit.register(remove_at_exit, spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_path = path
     return back

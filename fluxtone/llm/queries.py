@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxtone.llm.common import table
-from fluxtone.llm import divergence, exact_dedup, filter_audit, language_id, license_scan, line_dedup, mixing, packing, quality, sharding, topk
+from fluxtone.llm import divergence, exact_dedup, filter_audit, language_id, license_scan, line_dedup, mixing, packing, quality, sharding, topk, warc
 from fluxtone.llm.ngram_join import ngram_jaccard_join
 
 
@@ -60,6 +60,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "place")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_language_id": op2_language_id,
@@ -73,6 +77,7 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_source_divergence": op11_source_divergence,
     "op12_filter_audit": op12_filter_audit,
+    "op13_warc": op13_warc,
 }
 
 ORACLE_SQL = {
@@ -81,4 +86,5 @@ ORACLE_SQL = {
     "op8_mixing": mixing.ORACLE,
     "op11_source_divergence": divergence.ORACLE,
     "op12_filter_audit": filter_audit.ORACLE,
+    "op13_warc": warc.ORACLE,
 }
