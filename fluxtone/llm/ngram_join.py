@@ -2,7 +2,8 @@
 
 Rows go through these steps, each over all documents:
 
-1. *Counts.* Documents are dealt to blocks by a hash. A block sends the sorted short hashes of its n-grams, cut
+1. *Counts.* Rows alike in doc_id and text become one row with their number, in each task. Documents are dealt to
+   blocks by a hash. A block sends the sorted short hashes of its n-grams, cut
    into ranges and packed, to the tasks that count each range over all blocks, and gets back the counts above
    one. So each n-gram's document frequency is known where its documents are: exactly, but for n-grams that share
    a short hash (which grows with the input; about one n-gram in ``2 ** SPARE_BITS`` has such a partner). They
@@ -12,12 +13,12 @@ Rows go through these steps, each over all documents:
    and go no further. Documents with equal sets are one node.
 3. *Hubs.* Per prefix n-gram, every node is paired with the node in whose prefix it comes first (a combining
    aggregation), so a group of any size makes no more pairs than it has members. What this leaves apart is paired
-   with the first node among itself in turn, until a round brings no link.
+   with the first node among itself in turn, ``HUB_ROUNDS`` times in all.
 4. *The rest.* For n-grams whose nodes are in two or more components by then, the nodes outside the largest are
    joined with all of the n-gram's nodes, in squares of ``SQUARE`` by ``SQUARE`` nodes: no task has a whole group.
 5. All these pairs pass length, positional and suffix filters within the join, become distinct, and are verified
-   once on whole sets. What is linked already is not paired again: the components, which are the result, can't
-   change by it.
+   once on whole sets: pairs that were refused are kept and taken out of later ones. What is linked already is not
+   paired again: the components, which are the result, can't change by it.
 
 The filters take the shared n-gram for the first one that a pair shares, as one of them is: nothing before it is
 common then. The suffix filter bounds from below how many n-grams after it only one of the two has: the hash range
@@ -33,6 +34,7 @@ result row per input row. Only doc_id and text are read, other columns may have
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxtone.llm.common import components, small_batches, stored
+from fluxtone.llm.common import components, drop_stored, small_batches, stored
 from fluxtone.llm.textops import batch_shingles, parts
 
 #: A block has about this much text; up to ``BLOCKS`` blocks they are smaller.
@@ -51,6 +53,9 @@ SPARE_BITS = 8
 RANGE_WORDS = 4
 RANGES = 64 * RANGE_WORDS
 SQUARE = 2048
+HUB_ROUNDS = 3
+#: Rows that a task remembers to find repeated ones, and bytes of texts that it holds of those.
+KNOWN, HELD = 200_000, 32 << 20
 
 PREFIX = "array<struct<token:long,pos:long,odd:struct<" + ",".join(f"o{w}:long" for w in range(RANGE_WORDS)) + ">>>"
 
@@ -83,12 +88,50 @@ def _level(count: np.ndarray) -> np.ndarray:
     return np.where(count < 1 << 15, count, np.minimum(high, 65535)).astype(np.uint16)
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, copies: the rows of a task, those that repeat one (null and empty texts are alike) put together.
+
+    A row goes on at once when it is new; of a row that comes again the text is held until the end, or until
+    ``HELD`` bytes are. So a repeated row makes some two rows a task, whatever its number.
+    """
+    known: set[tuple[int | None, bytes]] = set()
+    held: dict[tuple[int | None, bytes], tuple[bytes, int]] = {}
+    size = 0
+
+    def repeats() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in held], pa.int64()), pa.array([x for x, _ in held.values()], pa.binary()).cast(pa.string()), pa.array([n for _, n in held.values()], pa.int64())], ["doc_id", "text", "copies"])
+
+    for batch in batches:
+        for first, texts in parts(batch["text"]):
+            rest = batch.slice(first, len(texts))
+            new = []
+            for i, text in zip(rest["doc_id"].to_pylist(), texts, strict=True):
+                key = (i, blake2b(text or b"", digest_size=16).digest())
+                new.append(key not in known)
+                if new[-1]:
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    known.add(key)
+                elif key in held:
+                    held[key] = (held[key][0], held[key][1] + 1)
+                else:
+                    held[key] = (text or b"", 1)
+                    size += len(text or b"")
+            yield pa.RecordBatch.from_arrays([rest["doc_id"], rest["text"], pa.array(np.ones(len(texts), np.int64))], ["doc_id", "text", "copies"]).filter(pa.array(new, pa.bool_()))
+            if size >= HELD:
+                yield repeats()
+                held, size = {}, 0
+    if held:
+        yield repeats()
+
+
 def _dealt(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """doc_id, text, mark, block; bits of a short hash; bits of a range."""
+    """doc_id, text, copies, mark, block; bits of a short hash; bits of a range."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, min(BLOCKS, size >> 20), -(-size // BLOCK_BYTES))
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.select("doc_id", "text", mark.alias("mark"), F.pmod(F.xxhash64("doc_id", mark), F.lit(blocks)).alias("block")), min(63, (size >> 2).bit_length() + SPARE_BITS), (blocks - 1).bit_length()
+    rows = docs.mapInArrow(_together, "doc_id long, text string, copies long")
+    return rows.select("doc_id", "text", "copies", mark.alias("mark"), F.pmod(F.xxhash64("doc_id", mark), F.lit(blocks)).alias("block")), min(63, (size >> 2).bit_length() + SPARE_BITS), (blocks - 1).bit_length()
 
 
 def _common(dealt: DataFrame, k: int, bits: int, range_bits: int) -> DataFrame:
@@ -120,7 +163,7 @@ def _common(dealt: DataFrame, k: int, bits: int, range_bits: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per row: doc_id, mark (of its text), set size n, a 128-bit name of the set; prefix and text where another document shares a prefix n-gram."""
+    """Per row: doc_id, mark (of its text), copies, set size n, a 128-bit name of the set; prefix and text where another document shares a prefix n-gram."""
     dealt, bits, range_bits = _dealt(docs)
     kinds = PREFIX.replace("long", "bigint")
 
@@ -139,10 +182,10 @@ def _prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     found = _prefix(h, prints, levels, bits, percent) if len(h) else []
                     prefix.append(found)
                     kept.append(text if found else None)
-        return pa.table({"doc_id": block["doc_id"], "mark": block["mark"], "n": pa.array(n, pa.int64()), "sig_a": pa.array(a, pa.int64()), "sig_b": pa.array(b, pa.int64()), "prefix": pa.array(prefix, _PREFIX_ARROW), "text": pa.array(kept, pa.binary()).cast(pa.string())})
+        return pa.table({"doc_id": block["doc_id"], "mark": block["mark"], "copies": block["copies"], "n": pa.array(n, pa.int64()), "sig_a": pa.array(a, pa.int64()), "sig_b": pa.array(b, pa.int64()), "prefix": pa.array(prefix, _PREFIX_ARROW), "text": pa.array(kept, pa.binary()).cast(pa.string())})
 
     common = _common(dealt, k, bits, range_bits)
-    return dealt.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(run, f"doc_id long, mark long, n long, sig_a long, sig_b long, prefix {kinds}, text string")
+    return dealt.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(run, f"doc_id long, mark long, copies long, n long, sig_a long, sig_b long, prefix {kinds}, text string")
 
 
 _PREFIX_ARROW = pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int64()), ("odd", pa.struct([(f"o{w}", pa.int64()) for w in range(RANGE_WORDS)]))]))
@@ -179,7 +222,7 @@ def _near(x: str, y: str, percent: int) -> F.Column:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs of nodes (a, b) whose whole sets are similar enough, as a written table."""
+    """The pairs of nodes (a, b), and whether their whole sets are similar enough (near), as a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,12 +232,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataF
                 for p, q in zip(batch_shingles(texts, k), batch_shingles([x and x.encode() for x in batch["text_b"][cut].to_pylist()], k), strict=True):
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     keep.append(100 * both >= percent * (len(p) + len(q) - both))
-                yield pa.RecordBatch.from_arrays([batch["a"][cut], batch["b"][cut]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([batch["a"][cut], batch["b"][cut], pa.array(keep, pa.bool_())], names=["a", "b", "near"])
 
     met = pairs.join(nodes.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     met = met.join(nodes.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     kind = nodes.schema["node"].dataType.simpleString()
-    return stored(met.mapInArrow(run, f"a {kind}, b {kind}"), "links")
+    return stored(met.mapInArrow(run, f"a {kind}, b {kind}, near boolean"), "links")
 
 
 def _pair(x: str, y: str) -> list[F.Column]:
@@ -227,23 +270,33 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     entries = nodes.select(F.explode("prefix").alias("p"), "n", "node").select("p.token", F.struct("p.pos", "node", "n", "p.odd").alias("at"))
     hubs = entries.groupBy("token").agg(F.min("at").alias("hub"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     entries = stored(entries.join(hubs, "token"), "entries")
-    apart, labels = entries, None
-    while True:
+    apart, labels, seen = entries, None, []
+    for turn in range(HUB_ROUNDS):
         pairs = apart.where((F.col("at.node") != F.col("hub.node")) & _near("at", "hub", percent)).select(*_pair("at.node", "hub.node")).distinct()
-        links = _verified(pairs, nodes, k, percent)
-        if labels is not None and not links.limit(1).count():
-            break
-        labels = components(links, labels)
-        # the nodes outside the components of all hubs so far meet the first of themselves next
-        left = _labelled(_labelled(apart, labels, "at.node", "label"), labels, "hub.node", "top").where("label <> top").select("token", "at")
-        apart = stored(left.join(left.groupBy("token").agg(F.min("at").alias("hub")), "token"), "apart")
-    more = _verified(_rest(_labelled(entries, labels, "at.node", "label"), percent), nodes, k, percent)
-    if more.limit(1).count():
-        labels = components(more, labels)
+        seen.append(_verified(_unseen(pairs, seen), nodes, k, percent))
+        labels = components(seen[-1].where("near"), labels)
+        if turn + 1 < HUB_ROUNDS:
+            # the nodes outside the components of all hubs so far meet the first of themselves next
+            left = _labelled(_labelled(apart, labels, "at.node", "label"), labels, "hub.node", "top").where("label <> top").select("token", "at")
+            last, apart = apart, stored(left.join(left.groupBy("token").agg(F.min("at").alias("hub")), "token"), "apart")
+            if turn:
+                drop_stored(last)
+    more = _verified(_unseen(_rest(_labelled(entries, labels, "at.node", "label"), percent), seen), nodes, k, percent)
+    for done in (apart, entries, *seen):
+        drop_stored(done)
+    labels = components(more.where("near"), labels)
 
     found = own.join(labels.select(F.col("node").alias("who"), "label"), F.col("node") == F.col("who"), "left")
     group = F.coalesce("label", "node")
-    return found.select("doc_id", "mark", "n", group.alias("group"), F.col("node").alias("own"), F.coalesce(F.col("leads") & (F.col("node") == group), F.lit(True)).alias("first"))
+    named = found.select("doc_id", "mark", "n", group.alias("group"), F.col("node").alias("own"), F.coalesce(F.col("leads") & (F.col("node") == group), F.lit(True)).alias("first"), "copies")
+    return named.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copies", "copy")
+
+
+def _unseen(pairs: DataFrame, seen: list[DataFrame]) -> DataFrame:
+    """The pairs that no verification has refused yet; those it linked don't come again."""
+    for done in seen:
+        pairs = pairs.join(done.where("not near").select("a", "b"), ["a", "b"], "left_anti")
+    return pairs
 
 
 def _rest(entries: DataFrame, percent: int) -> DataFrame:
