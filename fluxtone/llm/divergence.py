@@ -41,8 +41,8 @@ from fluxtone.llm.textops import parts
 LEAST_DOCS = 3
 LIGHT = 8
 BLOCK = 512
-#: Postings of a block that one tile takes, and cells of a tile's temporaries.
-TILE, CELLS = 1 << 19, 1 << 20
+#: Postings of a block that one tile takes (more where a tile's result would be larger), and cells of its temporaries.
+TILE, CELLS = 1 << 16, 1 << 20
 #: Counts that a task holds before it hands them on.
 HELD = 300_000
 SALTS = 16
@@ -166,7 +166,8 @@ def base_pairs(blocks: DataFrame) -> DataFrame:
 
 def heavy_pairs(postings: DataFrame, blocks: DataFrame) -> DataFrame:
     """Sums of f - base over the heavy terms, by dense tiles."""
-    per_tile = (TILE / F.least("size", F.lit(BLOCK))).cast("long")
+    wide = F.least("size", F.lit(BLOCK))
+    per_tile = F.greatest((TILE / wide).cast("long"), wide)
     plan = blocks.groupBy("lang").agg(F.count("*").alias("blocks"), F.max(F.ceil(F.col("heavy") / per_tile)).alias("chunks")).where("chunks > 0")
     ends = [F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")]
     numbers = F.expr("sequence(cast(0 as long), blocks - 1)")

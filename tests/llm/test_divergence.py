@@ -46,7 +46,7 @@ def made(seed, n=300):
 def test_matches_brute_force_at_any_split_of_heavy_and_light(spark, monkeypatch, light, block):
     monkeypatch.setattr(divergence, "LIGHT", light)
     monkeypatch.setattr(divergence, "BLOCK", block)
-    monkeypatch.setattr(divergence, "TILE", 64 if light < 8 else 1 << 19)
+    monkeypatch.setattr(divergence, "TILE", 64 if light < 8 else 1 << 16)
     rows = made(light)
     got = divergence.audit(spark.createDataFrame(rows, SCHEMA).repartition(4), most=30)
     assert sorted(map(tuple, got.collect())) == brute(rows, 30)
