@@ -118,3 +118,12 @@ def joined(parts: Column) -> Column:
 def field(n: Column, shift: int, width: int) -> Column:
     """``width`` bits of a number, ``shift`` bits from its low end."""
     return F.shiftright(n, shift).bitwiseAND((1 << width) - 1)
+
+
+def shifted_left(n: Column, by: int | Column) -> Column:
+    return F.call_function("shiftleft", n, F.lit(by) if isinstance(by, int) else by)
+
+
+def shifted_right(n: Column, by: int | Column) -> Column:
+    """Rounds down, also below 0."""
+    return F.call_function("shiftright", n, F.lit(by) if isinstance(by, int) else by)

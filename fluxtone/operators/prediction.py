@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from fluxtone.functions.bits import from_bits, to_bits
 from fluxtone.functions.filters import scan
+from fluxtone.functions.flac import FIXED, zigzag
 
-# Weights of the samples before, by order of the fixed predictors.
-FIXED = {0: (), 1: (1,), 2: (2, -1), 3: (3, -3, 1), 4: (4, -6, 4, -1)}
 RICE = 4
 
 
@@ -21,10 +20,6 @@ def fixed_residuals(rows: DataFrame) -> DataFrame:
     return before.select("id", "n", F.explode(F.array(*each)).alias("r")).select("id", "n", "r.*").where("n >= ord")
 
 
-def zigzag(v: Column) -> Column:
-    return F.when(v >= 0, 2 * v).otherwise(-2 * v - 1)
-
-
 def rice_bits(v: Column, parameter: int = RICE) -> Column:
     """Length of a Rice code: unary quotient, stop bit, remainder."""
     return F.shiftright(zigzag(v), parameter) + 1 + parameter

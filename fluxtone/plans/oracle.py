@@ -29,3 +29,19 @@ def fold(source: str, values: str, start: dict[str, str], lets: list[tuple[str,
 
 def array(values) -> str:
     return "[" + ", ".join(map(str, values)) + "]"
+
+
+def registry() -> tuple[dict, dict, object]:
+    """A module's queries, their SQL, and the decorator that adds a query with its SQL to both."""
+    queries, oracles = {}, {}
+
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                oracles[f.__name__] = sql
+            return f
+
+        return add
+
+    return queries, oracles, query
