@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,32 +34,6 @@ def power_db(magnitude: Column, size: int) -> Column:
     return F.when(level > 1e-6, F.greatest(20 * F.log10(level), F.lit(-120.0))).otherwise(-120.0)
 
 
-def fft(x: Column, size: int) -> Column:
-    """struct<re, im> of whole frames, a batch of frames at a time."""
-
-    @F.pandas_udf("struct<re:array<double>,im:array<double>>")
-    def run(frames: pd.Series) -> pd.DataFrame:
-        rows = np.zeros((len(frames), size))
-        for i, f in enumerate(frames):
-            if f is not None:
-                rows[i, : min(size, len(f))] = f[:size]
-        out = np.fft.fft(rows, axis=1)
-        return pd.DataFrame({"re": list(out.real), "im": list(out.imag)})
-
-    return run(x)
-
-
-def ifft(spectrum: Column, size: int) -> Column:
-    """Samples of a struct<re, im> spectrum, divided by its size."""
-
-    @F.pandas_udf("array<double>")
-    def run(rows: pd.DataFrame) -> pd.Series:
-        out = np.fft.ifft(np.stack(rows["re"]) + 1j * np.stack(rows["im"]), axis=1) if len(rows) else np.zeros((0, size))
-        return pd.Series(list(out.real))
-
-    return run(spectrum)
-
-
 def mdct(frames: DataFrame, half: int) -> DataFrame:
     """id, k, c of frames of 2 * half samples under the power-complementary window."""
     n, size = F.col("n"), 2 * half

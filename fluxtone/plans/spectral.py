@@ -7,9 +7,9 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fluxtone.functions import signal, spectral
+from fluxtone.functions import fast, signal, spectral
 from fluxtone.functions.bits import bits_of
-from fluxtone.operators import prediction, stretch
+from fluxtone.operators import blocks, prediction, stretch
 from fluxtone.plans import views
 from fluxtone.plans.oracle import CORRELATED, FRAMES, PCM, SERIES
 
@@ -44,24 +44,69 @@ def power_db(spark: SparkSession, sf_dir: str) -> DataFrame:
     return level.groupBy("k").agg(F.count("*").alias("frames"), F.round(F.avg("db"), 4).alias("mean_db"), F.round(F.max("db"), 4).alias("max_db"))
 
 
-@query("""select kind, n::int as n, round(case kind when 'hann' then 0.5 * (1 - cos(2 * pi() * n / 63)) when 'hamming' then 0.54 - 0.46 * cos(2 * pi() * n / 63)
-  when 'blackman' then 0.42 - 0.5 * cos(2 * pi() * n / 63) + 0.08 * cos(4 * pi() * n / 63) else 1 end, 6)::double as w
-  from (select unnest(['hann', 'hamming', 'blackman', 'rectangular']) as kind) cross join (select unnest(range(64)) as n)""")
+@query(f"""select kind, n::int as n, round(w, 6)::double as w, round(level * w, 5) as level from (
+  select kind, n, level, case kind when 'hann' then 0.5 * (1 - cos(2 * pi() * n / 63)) when 'hamming' then 0.54 - 0.46 * cos(2 * pi() * n / 63)
+  when 'blackman' then 0.42 - 0.5 * cos(2 * pi() * n / 63) + 0.08 * cos(4 * pi() * n / 63) else 1 end as w
+  from (select unnest(['hann', 'hamming', 'blackman', 'rectangular']) as kind) cross join (select n, avg(abs(x)) as level from ({LONG}) group by n))""")
 def window_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(64).select(F.col("id").cast("int").alias("n"))
-    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.round(signal.window(F.col("n"), 64, k), 6).alias("w")) for k in ("hann", "hamming", "blackman", "rectangular")])
-    return rows.select("n", F.explode(each).alias("s")).select("s.kind", "n", "s.w")
+    """The weights of the places of a frame by each window, and the mean level of all frames there under it."""
+    rows = views.frames_long(spark, sf_dir).groupBy("n").agg(F.avg(F.abs("x")).alias("level"))
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), signal.window(F.col("n"), 64, k).alias("w")) for k in ("hann", "hamming", "blackman", "rectangular")])
+    return rows.select("n", "level", F.explode(each).alias("s")).select("s.kind", F.col("n").cast("int").alias("n"), F.round("s.w", 6).alias("w"), F.round(F.col("level") * F.col("s.w"), 5).alias("level"))
 
 
 @query(f"select id, 0.0::double as worst, round(list_sum(list_transform(x, lambda s: s * s)), 5) as energy from ({FRAMES})")
 def ifft_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transform and back: no error, and the spectrum's energy is the signal's."""
-    rows = views.frames(spark, sf_dir).select("id", "x", spectral.fft(F.col("x"), 64).alias("s"))
-    rows = rows.select("id", "x", "s", spectral.ifft(F.col("s"), 64).alias("y"))
-    energy = F.aggregate(F.zip_with("s.re", "s.im", lambda a, b: a * a + b * b), F.lit(0.0), lambda a, v: a + v) / 64
+    rows = fast.fft(views.frames(spark, sf_dir).select("id", "x", fast.complex_of(fast.padded(F.col("x"), 64)).alias("s")), "s", 64)
+    rows = fast.fft(rows.withColumn("y", F.col("s")), "y", 64, inverse=True).withColumn("y", F.col("y.re"))
+    energy = F.aggregate("s", F.lit(0.0), lambda a, v: a + v["re"] * v["re"] + v["im"] * v["im"]) / 64
     return rows.select("id", F.round(F.array_max(F.zip_with("x", "y", lambda a, b: F.abs(a - b))), 6).alias("worst"), F.round(energy, 5).alias("energy"))
 
 
+@query(f"""select id, round(sum(re * (k + 1)), 4) as re, round(sum(im * (k + 1)), 4) as im from (
+  select id, k, sum(x * cos(2 * pi() * ((k * n) % 64) / 64)) as re, -sum(x * sin(2 * pi() * ((k * n) % 64) / 64)) as im from ({LONG}) cross join (select unnest(range(64)) as k) group by id, k) group by id""")
+def spectrum_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All complex bins of a frame, by the fast transform."""
+    rows = fast.fft(views.frames(spark, sf_dir).select("id", fast.complex_of(fast.padded(F.col("x"), 64)).alias("s")), "s", 64)
+    weighted = lambda part: F.round(F.aggregate(F.transform("s", lambda v, k: v[part] * (k + 1)), F.lit(0.0), lambda a, v: a + v), 4).alias(part)
+    return rows.select("id", weighted("re"), weighted("im"))
+
+
+STREAMS = f"select stream % 3 as stream, row_number() over (partition by stream % 3 order by seq) - 1 as n, x * 200 as x from ({SERIES})"
+HALF = 960
+
+
+def _streams(spark, sf_dir):
+    order = Window.partitionBy("stream").orderBy("seq")
+    return views.series(spark, sf_dir).withColumn("stream", F.col("stream") % 3).select("stream", (F.row_number().over(order) - 1).cast("long").alias("n"), (F.col("x") * 200).alias("x"))
+
+
+BLOCK_BANDS = ", ".join(f"({b}, {sum(fast.band_widths(HALF, 21)[:b])}, {w})" for b, w in enumerate(fast.band_widths(HALF, 21)))
+
+
+@query(f"""with s as ({STREAMS}), f as (select stream, max(n) // {HALF} + 1 as frames from s group by stream),
+  b as (select s.stream, n // {HALF} + j as frame, n % {HALF} + case when j = 0 then {HALF} else 0 end as n, x from s cross join (values (0), (1)) t(j)),
+  w as (select stream, frame, n, x * sin(pi() / 2 * pow(sin(pi() / {2 * HALF} * (n + 0.5)), 2)) as x from b),
+  c as (select stream, frame, k, sum(x * cos(pi() / {HALF} * (n + 0.5 + {HALF // 2}) * (k + 0.5))) * 2 / {HALF} as c from w cross join (select unnest(range({HALF})) as k) group by all),
+  q as (select stream, frame, band, case when sum(c * c) > 0 then least(greatest(trunc((20 * log10(sqrt(sum(c * c) / width)) + 28) * 2), 0), 63) else 0 end::int as q from c join (values {BLOCK_BANDS}) t(band, low, width) on k >= low and k < low + width group by stream, frame, band, width)
+  select stream, frame, bits, weighted from (select stream, frame, string_agg(lpad(bin(q), 6, '0'), '' order by band) || '00000' as bits from q group by stream, frame) join (select stream, frame, round(sum(c * (k + 1)) / {HALF}, 4) as weighted from c group by stream, frame) using (stream, frame)""")
+def opus_stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 960 samples along streams, each block with the frame before it: band levels as packed bits, and all coefficients weighed."""
+    c = blocks.spectra(_streams(spark, sf_dir), HALF)
+    weighted = F.round(F.aggregate(F.transform("c", lambda v, k: v * (k + 1)), F.lit(0.0), lambda a, v: a + v) / HALF, 4)
+    frame = spectral.opus_frame(fast.band_levels(F.col("c"), HALF))
+    return c.select("stream", "frame", F.substring(bits_of(F.substring(frame, F.lit(2), F.octet_length(frame))), 1, 21 * 6 + 5).alias("bits"), weighted.alias("weighted"))
+
+
+@query(f"select stream, n, round(x, 6) as x from ({STREAMS})")
+def opus_stream_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of streams again from the coefficients of their blocks of 960."""
+    own = _streams(spark, sf_dir)
+    ends = own.groupBy("stream").agg(F.max("n").alias("last"))
+    return blocks.samples(blocks.spectra(own, HALF), HALF).join(ends, "stream").where("n <= last").select("stream", "n", F.round("x", 6).alias("x"))
+
+
 EDGES = (0, 2, 4, 8, 16, 32)
 
 
