@@ -17,6 +17,7 @@ read, other columns may have any name.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -48,6 +49,10 @@ _BSD_THIRD = (
     "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
     "without specific prior written permission. "
 )
+_BSD_ADVERTISING = (
+    "All advertising materials mentioning features or use of this software must display the following acknowledgement: "
+    "This product includes software developed by the organization. "
+)
 _BSD_DISCLAIMER = (
     'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
     "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
@@ -77,12 +82,11 @@ TEMPLATES = {
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
         "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
-        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
-        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
-        " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+        + _MIT_DISCLAIMER
     ),
     "BSD text": _BSD_TWO + _BSD_DISCLAIMER,
     "BSD-3-Clause text": _BSD_TWO + _BSD_THIRD + _BSD_DISCLAIMER,
+    "BSD-4-Clause text": _BSD_TWO + _BSD_ADVERTISING + _BSD_THIRD + _BSD_DISCLAIMER,
     "GPL header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
@@ -112,7 +116,7 @@ TEMPLATES = {
         "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR "
         "IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
-    "Unlicense text": (
+    "Unlicense dedication": (
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
         "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
         "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to "
@@ -246,10 +250,12 @@ def scan_text(index: Index, h: np.ndarray, found: tuple[np.ndarray, np.ndarray,
             for matched, first, last in zip(*align_all(template, h, np.array(wanted[at : at + many]), band), strict=True):
                 if matched >= LEAST * len(template):
                     spans.append((int(matched) / len(template), int(first), int(last)))
-        taken: list[tuple[int, int]] = []
+        starts, ends = [], []  # of the spans taken, which don't overlap, in order
         for coverage, first, last in sorted(set(spans), key=lambda s: (-s[0], s[2] - s[1], s[1])):
-            if all(last < x or first > y for x, y in taken):
-                taken.append((first, last))
+            at = bisect_right(starts, last)  # the spans before this place begin where this one ends, or earlier
+            if not at or ends[at - 1] < first:
+                starts.insert(at, first)
+                ends.insert(at, last)
                 out.append((int(t), coverage, first, last))
     return sorted(out, key=lambda x: (x[0], x[2]))
 
@@ -273,18 +279,24 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None) -> Da
                 if not len(found[0]):
                     continue
                 bound = np.searchsorted(at, starts)
+                order = np.argsort(found[0], kind="stable")
+                found = tuple(x[order] for x in found)
                 text_of = np.searchsorted(bound, found[0], "right") - 1
-                rows = []
+                rows, inner_of, inner = [], None, None
                 for i in np.unique(text_of):
                     a, b = bound[i], bound[i + 1]
-                    own = (text_of == i) & (found[0] + GRAM <= b)  # runs that end in the next text are none
-                    hits = (found[0][own] - a, found[1][own], found[2][own])
+                    s = slice(*np.searchsorted(text_of, (i, i + 1)))
+                    own = found[0][s] + GRAM <= b  # runs that end in the next text are none
+                    hits = (found[0][s][own] - a, found[1][s][own], found[2][s][own])
                     for t in np.unique(hits[1]):
                         pick = hits[1] == t
                         spans = scan_text(index, h[a:b], tuple(x[pick] for x in hits))
                         if spans:
-                            raw, begin = texts[i], starts[i]
-                            point = lambda byte: len(raw[: byte - begin].decode("utf-8", "ignore"))  # noqa: B023, E731
+                            begin = starts[i]
+                            if i != inner_of:
+                                inner_of, inner = i, np.flatnonzero((np.frombuffer(texts[i], np.uint8) & 0xC0) == 0x80)
+                            # bytes before a place that begin a character
+                            point = lambda byte: int(byte - begin - np.searchsorted(inner, byte - begin))  # noqa: B023, E731
                             rows.append((offset + int(i), index.names[t], [{"start": point(at[a + f]), "stop": point(end[a + e]), "coverage": c} for _, c, f, e in spans]))
                 if rows:
                     who, names, spans = zip(*rows, strict=True)
