@@ -157,16 +157,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     rows = docs.select("doc_id", "text").where(~held_out() & F.col("doc_id").isNotNull())
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("positive", F.lit(True))
     known = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("labelled", F.lit(True))
-    n_good, n_all = good.where(~held_out()).count(), docs.count()
-    if not n_good or not n_all:
-        return None
     # repeated rows have one mark, and count once
-    rows = rows.withColumn("key", F.xxhash64("text", "doc_id")).withColumn("mark", F.pmod("key", F.lit(1_000_000)) / 1_000_000.0)
-    share_p, share_u = 1.2 * MOST / n_good + 1e-5, 2.0 * MOST / n_all + 1e-5
+    rows = rows.withColumn("key", F.xxhash64("text", "doc_id")).withColumn("mark", F.pmod("key", F.lit(1 << 48)) / 2.0**48)
+    positive, unlabelled = F.coalesce("positive", F.lit(False)), F.col("labelled").isNull()
+    with_kind = lambda df: df.join(good, "doc_id", "left").join(known, "doc_id", "left")
+    # distinct rows are counted, however many of them share an id, so that what is picked is bounded
+    n_good, n_rest = with_kind(rows.select("doc_id", "key")).agg(F.approx_count_distinct(F.when(positive, F.col("key"))), F.approx_count_distinct(F.when(unlabelled, F.col("key")))).first()
+    if not n_good:
+        return None
+    share_p, share_u = 1.3 * MOST / n_good, 1.3 * MOST / max(n_rest, 1)
     # ids of both kinds first, so that texts of picked rows only are measured
-    picked = rows.where(F.col("mark") < max(share_p, share_u)).join(good, "doc_id", "left").join(known, "doc_id", "left")
-    positive = F.coalesce("positive", F.lit(False))
-    picked = picked.where((positive & (F.col("mark") < share_p)) | (F.col("labelled").isNull() & (F.col("mark") < share_u)))
+    picked = with_kind(rows.where(F.col("mark") < max(share_p, share_u)))
+    picked = picked.where((positive & (F.col("mark") < share_p)) | (unlabelled & (F.col("mark") < share_u)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
                 yield pa.record_batch({"kind": batch["kind"][cut], "key": batch["key"][cut], "x": pa.array([v.tobytes() for v in features(texts)], pa.binary())})
 
     picked = picked.select("key", positive.alias("kind"), F.col("text").cast("string").alias("text")).dropDuplicates(["kind", "key"])
-    # distinct rows by now, whose number the shares hold near 1.2 and 2 times the bound; those of least key teach
+    # distinct rows by now, whose number the shares hold near 1.3 times the bound; those of least key teach
     got = picked.mapInArrow(measure, "kind boolean, key long, x binary").toPandas().sort_values(["kind", "key"])
     x = np.array([np.frombuffer(v, np.float32) for v in got["x"]])
     kind = got["kind"].to_numpy(bool)

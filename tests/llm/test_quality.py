@@ -45,3 +45,17 @@ def test_defined_cases(spark):
     assert {r.score for r in none} == {0.5} and {r.predicted for r in none} == {0}
     assert quality.score_quality(df.limit(0), labels).collect() == []
     assert quality.score_quality(df, labels.limit(0)).count() == len(docs)
+
+
+def test_a_label_on_many_texts_teaches_no_more_than_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MOST", 40)
+    sizes = []
+    train = quality.train
+    monkeypatch.setattr(quality, "train", lambda pos, unl: sizes.append((len(pos), len(unl))) or train(pos, unl))
+    collected = []
+    to_pandas = type(spark.range(1)).toPandas
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", lambda self: (lambda found: collected.append(len(found)) or found)(to_pandas(self)))
+    docs = spark.range(4000).selectExpr("if(id % 2 = 0, 1, id) as doc_id", "concat('some text of words number ', id) as text")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    quality.fit(docs, labels)
+    assert collected and max(collected) < 4 * 40 and sizes[0][0] <= 40 and sizes[0][1] <= 40
