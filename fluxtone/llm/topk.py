@@ -8,7 +8,8 @@ from above. For each query the blocks come in falling order of that bound and ar
 index (the vectors themselves) until the bound falls below the query's k-th best score so far. Ties go to the
 smaller id, so a block whose bound equals that score is still read unless all its ids are larger.
 
-1. Each query meets the shard that it lies in itself, which gives it k scores. The last of them can only be too low.
+1. Each query meets the shard that it lies in itself, in the task that makes the shard, which gives it k scores. The
+   last of them can only be too low.
 2. Each query meets the other shards with that score as the start of its k-th best, so that blocks and whole shards
    of other directions fall below at once. Shards return what beats it, k rows a query at most.
 
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,13 +42,12 @@ _NONE = np.iinfo(np.int64).min
 _LAST = np.iinfo(np.int64).max
 
 
-def _ints(rows: list[list[float]], dims: int) -> np.ndarray:
+def _ints(v: pa.Array, dims: int) -> np.ndarray:
     """Integer components as doubles, or as Python integers where 256 times a component isn't exact in a double."""
-    out = np.zeros((len(rows), dims))
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+    out = np.zeros((len(v), dims))
+    out[np.arange(dims) < np.asarray(v.value_lengths())[:, None]] = np.asarray(v.flatten())
     if out.size and np.abs(out).max() >= 2.0**44:
-        return np.array([[int(v) * 256 if abs(v) >= 2.0**53 else int(np.floor(v * 256.0)) for v in r] for r in out], dtype=object).reshape(out.shape)
+        return np.array([[int(x) * 256 if abs(x) >= 2.0**53 else int(np.floor(x * 256.0)) for x in r] for r in out], dtype=object).reshape(out.shape)
     return np.floor(out * 256.0)
 
 
@@ -133,7 +134,7 @@ def _searched(cells: DataFrame, number: int, k: int, dims: int) -> DataFrame:
         current, held, shard = None, [], None
         for batch in batches:
             place, kind, ids, start = (batch[c].to_numpy(zero_copy_only=False) for c in ("cell", "kind", "vec_id", "start"))
-            data = _ints(batch["v"].to_pylist(), dims)
+            data = _ints(batch["v"], dims)
             cuts = np.flatnonzero((np.diff(place) != 0) | (np.diff(kind) != 0)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(place)], strict=True):
                 if place[a] != current:
@@ -152,28 +153,56 @@ def _searched(cells: DataFrame, number: int, k: int, dims: int) -> DataFrame:
     return dealt.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
+def _at_home(ranges: DataFrame, k: int, dims: int, query_step: int) -> DataFrame:
+    """The vectors of each partition, which is a shard, and what its own queries find in it.
+
+    shard, query_id (null for a vector), vec_id, v (null for a result), score.
+    """
+    kind = ranges.schema["v"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, ids, data = TaskContext.get().partitionId(), [], []
+        rows = lambda n, query, vec, v, score: pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int64)), query, vec, v, score], ["shard", "query_id", "vec_id", "v", "score"])
+        for batch in batches:
+            n, v = batch.num_rows, batch["v"]
+            ids.append(batch["vec_id"].to_numpy())
+            data.append(_ints(v, dims))
+            yield rows(n, pa.nulls(n, pa.int64()), batch["vec_id"], v, pa.nulls(n, pa.int64()))
+        if not ids:
+            return
+        shard, asked, vectors = Shard(np.concatenate(ids), np.concatenate(data)), np.concatenate(ids), np.concatenate(data)
+        for at in range(0, len(asked), BATCH):
+            mine = np.flatnonzero(asked[at : at + BATCH] % query_step == 0) + at
+            if len(mine):
+                score, who = shard.search(asked[mine], vectors[mine], k)
+                real = who != _LAST
+                found = int(real.sum())
+                yield rows(found, pa.array(np.repeat(asked[mine], k).reshape(-1, k)[real]), pa.array(who[real]), pa.nulls(found, v.type), pa.array(score[real]))
+
+    return ranges.mapInArrow(run, f"shard long, query_id long, vec_id long, v {kind}, score long")
+
+
 def top_k(vectors: DataFrame, k: int = 5, query_step: int = 50) -> DataFrame:
     """Queries are the rows whose vec_id is divisible by ``query_step``: query_id, rank (from 1), vec_id, score."""
     ok = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(ok)
+    narrow = vectors.schema["embedding"].dataType.simpleString() == "array<float>"  # half of a double's bytes
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if narrow else "array<double>").alias("v")).where(ok)
     size = F.transform("v", lambda x: F.abs(x))
     rows = rows.withColumn("lead", F.array_position(size, F.array_max(size))).withColumn("value", F.when(F.col("lead") > 0, F.col("v")[(F.col("lead") - 1).cast("int")]))
     facts = rows.agg(F.count("*"), F.max(F.size("v")), F.count(F.when(F.col("vec_id") % query_step == 0, 1))).first()
     each = min(SHARD, max(LEAST_SHARD, -(-facts[0] // SHARDS)))
     shards, batches, dims = max(1, -(-facts[0] // each)), max(1, -(-facts[2] // BATCH)), max(1, facts[1] or 1)
-    # a shard is what one task of the range sort writes; the written table fixes it
-    rows = stored(rows.repartitionByRange(shards, "lead", "value", "vec_id").select("vec_id", "v", F.spark_partition_id().cast("long").alias("shard")), "vectors")
-    shards = (rows.agg(F.max("shard")).first()[0] or 0) + 1
-    asked = rows.where(F.col("vec_id") % query_step == 0).withColumn("batch", F.pmod(F.xxhash64("vec_id"), F.lit(batches)))
+    # a shard is what one task of the range sort reads; the written table fixes it
+    ranges = rows.repartitionByRange(shards, "lead", "value", "vec_id").select("vec_id", "v")
+    both = stored(_at_home(ranges, k, dims, query_step), "vectors")
+    shards = (both.agg(F.max("shard")).first()[0] or 0) + 1
+    rows, home = both.where("query_id is null").select("shard", "vec_id", "v"), both.where("query_id is not null").select("query_id", "vec_id", "score")
+    floor = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(_NONE)).alias("start"))
+    far = rows.where(F.col("vec_id") % query_step == 0).join(floor, F.col("vec_id") == F.col("query_id"), "left").withColumn("start", F.coalesce("start", F.lit(_NONE)))
+    far = far.withColumn("batch", F.pmod(F.xxhash64("vec_id"), F.lit(batches))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("other <> shard")
     cell = lambda s, b: (F.col(s) * batches + F.col(b)).alias("cell")
     mine = rows.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1)))).select(cell("shard", "batch"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(_NONE).alias("start"))
-    names = ["cell", "kind", "vec_id", "v", "start"]
-    at_home = asked.select(cell("shard", "batch"), F.lit(1).alias("kind"), "vec_id", "v", F.lit(_NONE).alias("start"))
-    home = stored(_searched(mine.unionByName(at_home), shards * batches, k, dims), "home")
-    floor = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(_NONE)).alias("start"))
-    far = asked.join(floor, F.col("vec_id") == F.col("query_id"), "left").withColumn("start", F.coalesce("start", F.lit(_NONE)))
-    far = far.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("other <> shard").withColumn("kind", F.lit(1))
-    away = _searched(mine.unionByName(far.select(cell("other", "batch"), *names[1:])), shards * batches, k, dims)
+    away = _searched(mine.unionByName(far.select(cell("other", "batch"), F.lit(1).alias("kind"), "vec_id", "v", "start")), shards * batches, k, dims)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return home.unionByName(away).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
