@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from fluxtone.functions.headers import wav_info
 from fluxtone.operators.containers import ogg_packets
+from fluxtone.plans import speech as speech_plans
 from fluxtone.plans import views
 from fluxtone.plans.oracle import PACKETS, SERIES
-from fluxtone.streaming import jobs, sinks
+from fluxtone.streaming import carried, jobs, sinks
 
 QUERIES, ORACLE = {}, {}
 
@@ -73,14 +74,51 @@ def stream_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
   union all select 'aac', stream, 0, octet_length(encode(text)), true, md5(text) from w""")
 def stream_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations that come in three batches, through the writers of three codecs, and their files read back."""
-    rows = views.packets(spark, sf_dir)
+    rows = views.packets(spark, sf_dir).select(F.col("ssrc").alias("stream"), "seq", "b")
     base = f"{jobs.shared_folder(spark)}/sinks-{uuid.uuid4().hex}"
-    for lot, some in enumerate((F.col("seq") < 2, F.col("seq").between(2, 4), F.col("seq") > 4)):
-        rows.where(some).select(F.col("ssrc").alias("stream"), "seq", "b").coalesce(1).write.parquet(f"{base}/in/{lot}")
-    arrivals = spark.readStream.schema("stream long, seq long, b binary").option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
-    files = {codec: sinks.write_streams(arrivals, codec, f"{base}/{codec}") for codec in ("opus", "pcm", "aac")}
+    lot = F.when(F.col("seq") < 2, 0).when(F.col("seq") <= 4, 1).otherwise(2)
+    files = jobs.in_lots(rows, lot, lambda stream: {codec: sinks.write_streams(stream, codec, f"{base}/{codec}") for codec in ("opus", "pcm", "aac")})
     opus = ogg_packets(files["opus"].withColumnRenamed("stream", "id")).select(F.lit("opus").alias("codec"), F.col("id").alias("stream"), "k", "granule", "good", F.md5("payload").alias("digest"))
     wav = files["pcm"].withColumn("w", wav_info(F.col("b"))).withColumn("body", F.substring("b", F.lit(45), F.octet_length("b")))
     wav = wav.select(F.lit("pcm").alias("codec"), "stream", F.lit(0).alias("k"), F.col("w.data_size").alias("granule"), (F.col("w.rate") == 24000).alias("good"), F.md5("body").alias("digest"))
     plain = files["aac"].select(F.lit("aac").alias("codec"), "stream", F.lit(0).alias("k"), F.octet_length("b").cast("long").alias("granule"), F.lit(True).alias("good"), F.md5("b").alias("digest"))
     return opus.union(wav).union(plain)
+
+
+#: The first packet's time is some time after that of a watermark that hasn't moved yet.
+LOTS, PATIENCE, START, FAR = 4, 8, 1_000_000, 100_000
+JITTER = f"select stream, row_number() over (partition by stream order by seq) - 1 as seq, x from ({SERIES})"
+
+
+@query(f"""with h as (select * from ({JITTER}) where seq % 10 <> 3 and seq % 17 <> 5)
+  select stream, seq, round(x, 6) as x, row_number() over (partition by stream order by seq) - 1 as place, seq - coalesce(lag(seq) over (partition by stream order by seq), -1) - 1 as missing from h""")
+def stream_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets a second apart, of which every tenth is lost and others come when their time is long past, given out in order and in time.
+
+    Two packets of a stream of their own, far later, let the watermark pass all the others.
+    """
+    rows = jobs.numbered(views.series(spark, sf_dir).select("stream", "seq", "x"), "number").select("stream", F.col("number").alias("seq"), F.timestamp_seconds(F.col("number") + START).alias("t"), "x").where("seq % 10 <> 3")
+    size = rows.agg(F.max("seq")).first()[0] or 0
+    late = F.col("seq") % 17 == 5
+    marks = spark.range(2).select(F.lit(-1).cast("long").alias("stream"), F.col("id").alias("seq"), F.timestamp_seconds(F.col("id") + START + size + FAR).alias("t"), F.lit(0.0).alias("x"))
+    lot = F.when(F.col("stream") < 0, LOTS + F.col("seq")).when(late, LOTS + 2).otherwise(F.least(F.floor(F.col("seq") * LOTS / (size + 1)), F.lit(LOTS - 1)))
+    out = jobs.in_lots(rows.union(marks), lot, jobs.appended(lambda stream: jobs.jitter(stream, PATIENCE), spark, "jitter"))
+    return out.where("stream >= 0").select("stream", "seq", F.round("x", 6).alias("x"), "place", "missing")
+
+
+@query(speech_plans._agc_sql())
+def stream_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gain of streams that come in lots, as that of whole streams."""
+    rows = views.series(spark, sf_dir).select("stream", "seq", "x")
+    last = rows.agg(F.max("seq")).first()[0] or 1
+    lot = F.least(F.floor(F.col("seq") * LOTS / (last + 1)), F.lit(LOTS - 1))
+    y = jobs.in_lots(rows, lot, jobs.appended(lambda stream: carried.gain(stream, speech_plans.RATE), spark, "gain"))
+    return y.groupBy("stream").agg(F.round(F.sum(F.col("y") * F.col("y")), 6).alias("energy"), F.round(F.max_by("y", "seq"), 6).alias("last"))
+
+
+@query(speech_plans.ORACLE["vad_hangover"])
+def stream_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speech in streams whose frames come in lots, as in whole streams."""
+    rows = speech_plans._levels(spark, sf_dir).select("stream", F.col("frame").alias("seq"), "energies")
+    found = jobs.in_lots(rows, F.floor(F.col("seq") % 50 * LOTS / 50), jobs.appended(carried.speech, spark, "speech"))
+    return found.groupBy("stream").agg(F.sum(F.col("speech").cast("long")).alias("speech"), F.sum((F.col("probability") > 0.4).cast("long")).alias("above"))

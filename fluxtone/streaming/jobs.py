@@ -9,19 +9,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where all run in one process.
+
+    On a cluster without that setting there is no such folder, and this fails. The setting is left as it is.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='fluxtone-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_folder()
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='fluxtone-')}"
 
 
 def read(spark: SparkSession, path: str, files_at_once: int | None = None) -> DataFrame:
@@ -39,6 +50,33 @@ def finish(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def in_lots(rows: DataFrame, lot: Column, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` on a stream of ``rows`` that come lot by lot (0, 1 and so on), all of a lot in one batch; the last result.
+
+    ``run`` is called after each lot has come, and goes on where it left off.
+    """
+    spark = rows.sparkSession
+    base = f"{shared_folder(spark)}/lots-{uuid.uuid4().hex}"
+    numbered = rows.withColumn("lot", lot.cast("int"))
+    last = numbered.agg(F.max("lot")).first()[0] or 0
+    for i in range(last + 1):
+        numbered.where(F.col("lot") == i).drop("lot").write.parquet(f"{base}/{i:04d}")
+        out = run(spark.readStream.schema(rows.schema).parquet(f"{base}/*"))
+    return out
+
+
+def appended(build: Callable[[DataFrame], DataFrame], spark: SparkSession, name: str) -> Callable[[DataFrame], DataFrame]:
+    """For ``in_lots``: appends what ``build`` makes of the stream to a table, with one state over all lots."""
+    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def run(stream: DataFrame) -> DataFrame:
+        made = build(stream)
+        made.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(made.schema).parquet(f"{base}/out")
+
+    return run
+
+
 def drop_repeats(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
     """First arrivals; a repeat within ``delay`` of event time is dropped, and state older than that is let go."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
@@ -90,6 +128,41 @@ def reorder(stream: DataFrame, slots: int = 64, late: bool = False) -> DataFrame
     return stream.groupBy("stream").applyInPandasWithState(step, "stream long, seq long, x double, place long", "following long, count long, numbers array<long>, held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def jitter(stream: DataFrame, patience: float, delay: str = "0 seconds") -> DataFrame:
+    """stream, seq, x, place, missing of a streaming (stream, seq, t, x): packets in order of seq from 0, with what never came given up in time.
+
+    A packet goes on as soon as all before it have, or been given up. One that waits behind a missing number waits
+    until the watermark (the latest t less ``delay``) is ``patience`` seconds past its own t; then the numbers missing
+    before it are given up, also if nothing of its stream comes any more. A packet that comes after its number was
+    given up, after its like, or after the watermark falls away. ``missing`` counts the numbers given up just before a
+    packet. The state of a stream is its next number, its count, and the packets that wait.
+    """
+    wait = int(patience * 1000)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        following, count, numbers, times, values = state.get if state.exists else (0, 0, [], [], [])
+        held = {n: (t, x) for n, t, x in zip(numbers, times, values, strict=True)}
+        for pdf in batches:  # none where time has run out
+            for n, t, x in zip(pdf["seq"], pdf["t"], pdf["x"], strict=True):
+                if n >= following:
+                    held.setdefault(int(n), (int(t.timestamp() * 1000), float(x)))
+        now = state.getCurrentWatermarkMs()
+        tired = max((n for n, (t, _) in held.items() if t + wait <= now), default=-1)
+        out, ahead = [], sorted(held, reverse=True)  # the least number last
+        while ahead and (ahead[-1] == following or ahead[-1] <= tired):
+            n = ahead.pop()
+            out.append((key[0], n, held.pop(n)[1], count, n - following))
+            following, count = n + 1, count + 1
+        state.update((following, count, list(held), [t for t, _ in held.values()], [x for _, x in held.values()]))
+        if held:
+            state.setTimeoutTimestamp(max(min(t for t, _ in held.values()) + wait, now + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["stream", "seq", "x", "place", "missing"])
+
+    keyed = stream.withWatermark("t", delay).groupBy("stream")
+    return keyed.applyInPandasWithState(step, "stream long, seq long, x double, place long, missing long", "following long, count long, numbers array<long>, times array<long>, held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def numbered(rows: DataFrame, name: str, width: int = 1 << 16) -> DataFrame:
     """``rows`` with their numbers from 0 by seq within each stream: prefix sums over blocks of ``width`` of seq, then within blocks."""
     rows = rows.withColumn("block", F.floor(F.col("seq") / width))

@@ -6,7 +6,6 @@ header and trailer likewise; so a batch that comes again changes nothing. A file
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,19 +28,18 @@ def kind_of(codec: str | None) -> str:
 
 
 def _so_far(spark: SparkSession, folder: str, batch: int) -> DataFrame:
-    """stream, before: chunks of a stream in earlier batches."""
-    try:
-        done = spark.read.schema("stream long, chunks long, batch long").parquet(f"{folder}/counts")
-    except AnalysisException:  # the first batch finds no folder
-        done = spark.createDataFrame([], "stream long, chunks long, batch long")
-    return done.where(F.col("batch") < batch).groupBy("stream").agg(F.sum("chunks").alias("before"))
+    """stream, before: chunks of a stream in all batches before this one, as the one before left them."""
+    if not batch:
+        return spark.createDataFrame([], "stream long, before long")
+    return spark.read.schema("stream long, before long").parquet(f"{folder}/counts/part={batch - 1}").select("stream", "before")
 
 
 def write_batch(chunks: DataFrame, batch: int, kind: str, folder: str) -> None:
     """Appends a batch of (stream, seq, b) to its streams: in order of seq within the batch, batches in their order."""
     spark = chunks.sparkSession
-    chunks.groupBy("stream").agg(F.count("*").alias("chunks")).withColumn("batch", F.lit(batch).cast("long")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/counts/part={batch}")
     before = _so_far(spark, folder, batch)
+    new = chunks.groupBy("stream").agg(F.count("*").alias("before"))
+    before.union(new).groupBy("stream").agg(F.sum("before").alias("before")).write.mode("overwrite").parquet(f"{folder}/counts/part={batch}")
     own = F.row_number().over(Window.partitionBy("stream").orderBy("seq"))
     rows = chunks.withColumn("own", own).join(before, "stream", "left")
     k = (F.coalesce("before", F.lit(0)) + F.col("own")).cast("long")  # from 1
