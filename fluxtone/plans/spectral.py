@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fluxtone.functions import fast, signal, spectral
 from fluxtone.functions.bits import bits_of
-from fluxtone.operators import blocks, prediction, stretch
+from fluxtone.operators import blocks, granules, prediction, stretch
 from fluxtone.plans import views
 from fluxtone.plans.oracle import CORRELATED, FRAMES, PCM, SERIES
 
@@ -346,3 +346,24 @@ def speex_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.frames(spark, sf_dir).join(auto.select("id", prediction.levinson(F.col("r"), 2)["a"].alias("a")), "id")
     b = rows.select("id", bits_of(prediction.coded_frame(F.col("x"), F.col("a"), 2, 16, 4, 4, 40)).alias("b"))
     return b.select("id", F.length("b").cast("long").alias("bits"), F.md5("b").alias("digest"))
+
+
+GRANULES = f"select stream, n // 576 as g, n % 576 // 18 as band, n % 18 as k, x, (n // 576 % 4)::int as kind from ({STREAMS})"
+
+
+@query(f"""with l as ({GRANULES}), i as (select unnest(range(36)) as i),
+  w as (select kind, i, case when kind = 1 then case when i < 18 then sin(pi() / 36 * (i + 0.5)) when i < 24 then 1 when i < 30 then sin(pi() / 12 * (i - 18 + 0.5)) else 0 end
+    when kind = 3 then case when i < 6 then 0 when i < 12 then sin(pi() / 12 * (i - 6 + 0.5)) when i < 18 then 1 else sin(pi() / 36 * (i + 0.5)) end else sin(pi() / 36 * (i + 0.5)) end as w from i cross join (values (0), (1), (3)) t(kind)),
+  z as (select stream, g, band, i, sum(x * cos(pi() / 72 * ((2 * i + 19) * (2 * k + 1))) * w) as z from l join w using (kind) group by all
+    union all select stream, g, band, i, sum(x * cos(pi() / 24 * ((2 * (i - 6 - 6 * (k % 3)) + 7) * (2 * (k // 3) + 1))) * sin(pi() / 12 * (i - 6 - 6 * (k % 3) + 0.5))) from l join i on i >= 6 + 6 * (k % 3) and i < 18 + 6 * (k % 3) where kind = 2 group by all),
+  s as (select stream, g * 18 + i as t, band, sum(z) * case when band % 2 = 1 and i % 2 = 1 then -1 else 1 end as s from (
+      select stream, g, band, i, z from z where i < 18 union all select stream, g + 1, band, i - 18, z from z where i >= 18) where (stream, g) in (select (stream, g) from l) group by stream, g, i, band),
+  v as (select stream, t, n, sum(s * cos(pi() / 64 * ((n + 16) * (2 * band + 1)))) as v from s cross join (select unnest(range(64)) as n) group by all),
+  y as (select v.stream, v.t + d as t, n % 32 as j, sum(v * sin(pi() / 512 * (n % 32 + 32 * d + 0.5))) as y from v cross join (select unnest(range(16)) as d) where (d % 2 = 0) = (n < 32) and (v.stream, v.t + d) in (select (stream, t) from s) group by all)
+  select stream, t // 18 as granule, round(sum(y * y), 3) as energy, round(sum(y * ((t % 18) * 32 + j + 1)) / 576, 4) as weighted from y group by stream, t // 18""")
+def mp3_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of granules of all four kinds of blocks, to samples; overlaps and the filter's past go on from granule to granule."""
+    rows = blocks.frames(_streams(spark, sf_dir), 576).select("stream", F.col("frame").alias("granule"), (F.col("frame") % 4).cast("int").alias("kind"), F.col("x").alias("lines"))
+    y = granules.synthesis(granules.subbands(rows))
+    weighted = F.aggregate(F.transform("y", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v) / 576
+    return y.select("stream", "granule", F.round(F.aggregate("y", F.lit(0.0), lambda a, v: a + v * v), 3).alias("energy"), F.round(weighted, 4).alias("weighted"))
