@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxtone.functions import adaptive
+from fluxtone.operators import packet_codecs
 from fluxtone.operators.registry import byte_registry, default_registry, from_pcm, to_pcm
 from fluxtone.plans import views
 from fluxtone.plans.dsp import _alaw_decode_sql, _alaw_encode_sql, _print, _print_sql, _ulaw_decode_sql, _ulaw_encode_sql
@@ -136,6 +137,30 @@ def g726_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("bits", "id", F.hex("b").alias("bytes"), _print(back).alias("fingerprint"))
 
 
+STREAM = 50
+LONG_PCM = f"select id // {STREAM} as id, flatten(list(v order by id)) as v from ({PCM}) group by 1"
+PACKETED = " union all ".join(
+    f"select * from ({step.replace(f'as ({PCM})', f'as ({LONG_PCM})')} select '{name}' as codec, id as stream, count(*) as n, sum(p_value::bigint * i)::bigint as fingerprint from r where i > 0 group by id)"
+    for name, step in (("ima", IMA_ENCODE), ("g726-3", _g726(3)), ("g726-5", _g726(5)))
+)
+
+
+@query(PACKETED)
+def codec_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of fifty frames, coded in one piece, cut into packets of 1, 3, 5 bytes and so on, and decoded packet by packet."""
+    frames = views.pcm(spark, sf_dir).groupBy(F.expr(f"id div {STREAM}").alias("stream")).agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("l")).select("stream", F.flatten("l.v").alias("v"))
+    out = []
+    for name, codec, bits, codes in (("ima", "ima", 4, adaptive.ima_encode(F.col("v"))), ("g726-3", "g726", 3, adaptive.g726_encode(F.col("v"), 3)), ("g726-5", "g726", 5, adaptive.g726_encode(F.col("v"), 5))):
+        whole = frames.select("stream", adaptive.pack_codes(codes, bits).alias("b"))
+        last = F.floor(F.sqrt(F.octet_length("b") - 1)).cast("int")
+        packets = whole.select("stream", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda k: F.substring("b", k * k + 1, 2 * k + 1))).alias("frame", "b"))
+        found = packet_codecs.decode(packets, codec, bits)
+        before = F.coalesce(F.sum(F.size("v")).over(Window.partitionBy("stream").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        weighed = F.aggregate(F.transform("v", lambda v, i: v.cast("long") * (i + 1 + F.col("before"))), F.lit(0).cast("long"), lambda a, v: a + v)
+        out.append(found.withColumn("before", before).groupBy(F.lit(name).alias("codec"), "stream").agg(F.sum(F.size("v")).alias("n"), F.sum(weighed).alias("fingerprint")))
+    return out[0].union(out[1]).union(out[2])
+
+
 def _each_codec(extra: str) -> str:
     """A row for each frame through the codec of its id: codec, codes, samples, fingerprint, and ``extra``."""
     g722 = "sum(least(greatest(round_even(p_lv, 0) + round_even(p_hv, 0), -32768), 32767)::bigint * (2 * i - 1) + least(greatest(round_even(p_lv, 0) - round_even(p_hv, 0), -32768), 32767)::bigint * 2 * i)::bigint"
