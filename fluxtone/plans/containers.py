@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from fluxtone.functions.bits import le, to_be, u8
 from fluxtone.operators import containers
 from fluxtone.operators.registry import CODECS, codec_table
 from fluxtone.plans import views
-from fluxtone.plans.oracle import array
+from fluxtone.plans.oracle import PACKETS, array
+from fluxtone.sources import files, ogg
+from fluxtone.streaming.jobs import shared_folder
 
 QUERIES, ORACLE = {}, {}
 SIZES = "select doc_id as id, octet_length(encode(text)) as size, hex(encode(text)) as h, md5(text) as digest from documents"
@@ -231,3 +235,14 @@ def flac_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.concat(F.lit(b"fLaC"), block(0, F.lit(bytes(34))), block(4, F.col("b")), block(0x81, padding), F.lit(b"\xff\xf8sound"))
     out = containers.flac_blocks(views.payload(spark, sf_dir).select("id", whole.alias("b")))
     return out.select("id", "k", "kind", "last", "start", F.col("size").alias("bytes"))
+
+
+@query(f"select ssrc as stream, row_number() over (partition by ssrc order by seq) - 1 as k, true as whole, md5(text) as digest from ({PACKETS})")
+def ogg_split_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of many streams, written to a few files page by page, and read again in splits of 20,000 bytes."""
+    rows = views.packets(spark, sf_dir).select(F.col("ssrc").alias("stream"), "seq", "b")
+    pages = containers.ogg_pages(rows).select((F.col("stream") % 5).alias("id"), F.struct("number", "stream").alias("k"), F.col("page").alias("payload"))
+    folder = f"{shared_folder(spark)}/ogg-{uuid.uuid4().hex}"
+    files.write_files(containers.join_chunks(pages).select(F.concat(F.col("id").cast("string"), F.lit(".ogg")).alias("name"), "b"), folder)
+    found = ogg.packets(ogg.read_pieces(spark, folder, 20_000))
+    return found.select("stream", "k", "whole", F.md5("payload").alias("digest"))
