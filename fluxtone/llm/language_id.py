@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxtone.llm.common import held_out, small_batches
+from fluxtone.llm.common import held_out, small_batches, stored
 from fluxtone.llm.textops import joined, parts
 
 UNKNOWN = "und"
@@ -218,7 +218,12 @@ def _chosen(rows: DataFrame) -> list:
         for lang, marks in held.items():
             yield pa.record_batch({"lang": pa.array([lang] * len(marks), pa.string()), "mark": pa.array(marks, pa.int64())})
 
-    found = rows.select("lang", "mark").mapInArrow(least, "lang string, mark long").distinct()
+    # steps of an eighth of a power of two from the least hash on, so that few hashes lie in the step of the last one wanted
+    step = F.floor(F.log2(F.col("mark").cast("double") + 2.0**63 + 1) * 8)
+    found = stored(rows.select("lang", "mark").mapInArrow(least, "lang string, mark long").distinct().withColumn("step", step), "marks")
+    so_far = F.sum("n").over(Window.partitionBy("lang").orderBy("step"))
+    steps = found.groupBy("lang", "step").agg(F.count("*").alias("n")).withColumn("before", so_far - F.col("n")).where(F.col("before") < ROWS_EACH)  # at most 512 rows a language
+    found = found.join(steps.select("lang", "step"), ["lang", "step"], "left_semi")
     order = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
     return found.withColumn("k", order).where(F.col("k") <= ROWS_EACH).groupBy("lang").agg(F.max("mark").alias("limit")).collect()  # a row a language
 
