@@ -66,4 +66,21 @@ def test_run_and_registration(spark):
 def test_every_operator_is_registered():
     entry = importlib.import_module("__spark_entry__")
     names = {re.match(r"op(\d+)_", q)[1] for q in entry.queries() if re.match(r"op\d+_", q)}
-    assert names == {str(n) for n in range(1, 11)}
+    assert names == {str(n) for n in range(1, 14)}
+
+
+def test_clashing_columns_and_repeated_rows_go_through_all_stages(spark):
+    texts = [f"In the {w} of the year the people of the town read about {w} and other things, and then they went home again to sleep for {i} hours." for i, w in enumerate(("spring", "summer", "autumn", "winter") * 5)]
+    rows = [(i % 15, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)]
+    rows += rows[:4] * 3 + [(None, texts[0], None, None, 1), (None, texts[0], None, None, 1), (3, "", "en", "s1", 0), (4, None, "en", "s1", 0)]
+    names = ["row", "key", "mark", "copies", "digest", "content", "points", "size", "turn", "block", "_id", "node", "label", "lang_pred"]
+    docs = spark.createDataFrame([(*r, *[f"x{i}"] * len(names)) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stored(stage(spark, kept, SF), "test")
+        assert kept.columns == docs.columns, name
+        assert kept.exceptAll(docs).where("false").count() == 0 and kept.join(docs, docs.columns, "left_anti").where("doc_id is not null").count() == 0
+    left = kept.select("text").distinct().count()
+    assert 0 < left <= len(set(texts))
+    pieces = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
+    assert sum(r.start == 0 for r in pieces) == kept.count()
