@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -92,52 +92,65 @@ def ogg_packets(files: DataFrame) -> DataFrame:
     return files.select("id", "b").mapInPandas(walk, "id long, k int, granule long, good boolean, payload binary")
 
 
-def flac_blocks(files: DataFrame) -> DataFrame:
-    """id, k, kind, last, start, size of (id, b): metadata blocks of a FLAC file, each after a byte of kind and three of size."""
+def flac_block_rows(b: bytes | None) -> Iterator[tuple]:
+    """k, kind, last, start, size of each metadata block of a FLAC file, each after a byte of kind and three of size."""
+    at, k, last = 4, 0, b is None or bytes(b[:4]) != b"fLaC"
+    while not last and at + 4 <= len(b):
+        size, last = int.from_bytes(b[at + 1 : at + 4], "big"), b[at] >= 0x80
+        if at + 4 + size > len(b):
+            break
+        yield k, b[at] & 0x7F, last, at + 4, size
+        at, k = at + 4 + size, k + 1
+
+
+#: Boxes that hold boxes, and those whose bodies are tables of a track's samples.
+INNER = frozenset({b"moov", b"trak", b"mdia", b"minf", b"stbl"})
+SAMPLE_TABLES = frozenset({b"stsz", b"stsc", b"stco", b"co64"})
+
+
+def mp4_box_rows(b: bytes | None) -> Iterator[tuple]:
+    """path, start, size, body of each leaf box of an MP4 file, by path from the top; bodies of sample tables only."""
+    todo = [(0, len(b or b""), "")]
+    while todo:
+        at, end, path = todo.pop()
+        while at + 8 <= end:
+            size, kind, head = int.from_bytes(b[at : at + 4], "big"), bytes(b[at + 4 : at + 8]), 8
+            if size == 1 and at + 16 <= end:
+                size, head = int.from_bytes(b[at + 8 : at + 16], "big"), 16
+            size = size or end - at
+            if size < head or at + size > end:
+                break
+            name = f"{path}/{kind.decode('latin1')}"
+            if kind in INNER:
+                todo.append((at + head, at + size, name))
+            else:
+                yield name, at + head, size - head, bytes(b[at + head : at + size]) if kind in SAMPLE_TABLES else None
+            at += size
+
+
+def _walked(files: DataFrame, rows_of: Callable[[bytes | None], Iterator[tuple]], columns: str) -> DataFrame:
+    """id and ``columns``: what ``rows_of`` gives of each file's bytes."""
+    names = ["id", *(c.split()[0] for c in columns.split(", "))]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for i, b in zip(pdf["id"], pdf["b"], strict=True):
-                at, k, last = 4, 0, b is None or bytes(b[:4]) != b"fLaC"
-                while not last and at + 4 <= len(b):
-                    size, last = int.from_bytes(b[at + 1 : at + 4], "big"), b[at] >= 0x80
-                    if at + 4 + size > len(b):
-                        break
-                    out.append((i, k, b[at] & 0x7F, last, at + 4, size))
-                    at, k = at + 4 + size, k + 1
-            yield pd.DataFrame(out, columns=["id", "k", "kind", "last", "start", "size"])
+            yield pd.DataFrame([(i, *row) for i, b in zip(pdf["id"], pdf["b"], strict=True) for row in rows_of(b)], columns=names)
+
+    return files.select("id", "b").mapInPandas(walk, f"id long, {columns}")
 
-    return files.select("id", "b").mapInPandas(walk, "id long, k int, kind int, last boolean, start long, size long")
+
+FLAC_BLOCKS = "k int, kind int, last boolean, start long, size long"
+MP4_BOXES = "path string, start long, size long, body binary"
+
+
+def flac_blocks(files: DataFrame) -> DataFrame:
+    """id, k, kind, last, start, size of (id, b): metadata blocks of a FLAC file."""
+    return _walked(files, flac_block_rows, FLAC_BLOCKS)
 
 
 def mp4_boxes(files: DataFrame) -> DataFrame:
     """id, path, start, size, body of (id, b): leaf boxes of an MP4 file, by path from the top; bodies of sample tables only."""
-    inner = {b"moov", b"trak", b"mdia", b"minf", b"stbl"}
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i, b in zip(pdf["id"], pdf["b"], strict=True):
-                todo = [(0, len(b or b""), "")]
-                while todo:
-                    at, end, path = todo.pop()
-                    while at + 8 <= end:
-                        size, kind, head = int.from_bytes(b[at : at + 4], "big"), bytes(b[at + 4 : at + 8]), 8
-                        if size == 1 and at + 16 <= end:
-                            size, head = int.from_bytes(b[at + 8 : at + 16], "big"), 16
-                        size = size or end - at
-                        if size < head or at + size > end:
-                            break
-                        name = f"{path}/{kind.decode('latin1')}"
-                        if kind in inner:
-                            todo.append((at + head, at + size, name))
-                        else:
-                            out.append((i, name, at + head, size - head, bytes(b[at + head : at + size]) if kind in {b"stsz", b"stsc", b"stco", b"co64"} else None))
-                        at += size
-            yield pd.DataFrame(out, columns=["id", "path", "start", "size", "body"])
-
-    return files.select("id", "b").mapInPandas(walk, "id long, path string, start long, size long, body binary")
+    return _walked(files, mp4_box_rows, MP4_BOXES)
 
 
 def _entries(boxes: DataFrame, kind: str, first: int, width: int, fields: list[tuple[str, int, int]]) -> DataFrame:

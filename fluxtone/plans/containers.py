@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxtone.functions import headers
+from fluxtone.functions import headers, tables
 from fluxtone.functions.bits import le, to_be, u8
 from fluxtone.operators import containers
 from fluxtone.operators.registry import CODECS, codec_table
@@ -230,11 +230,14 @@ def vorbis_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""select id, k, kind, last, start, bytes from (select id, size, id % 50 as pad from ({SIZES})) cross join lateral (values (0, 0, false, 8::bigint, 34::bigint), (1, 4, false, 46, size), (2, 1, true, 50 + size, pad)) t(k, kind, last, start, bytes)""")
 def flac_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of a file with stream information, a comment, and padding; what follows the last one is sound."""
+    return containers.flac_blocks(_flac_files(spark, sf_dir)).select("id", "k", "kind", "last", "start", F.col("size").alias("bytes"))
+
+
+def _flac_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = lambda kind, b: F.concat(F.lit(bytes([kind])), to_be(F.octet_length(b).cast("long"), 3), b)
     padding = F.unhex(F.repeat(F.lit("00"), (F.col("id") % 50).cast("int")))
     whole = F.concat(F.lit(b"fLaC"), block(0, F.lit(bytes(34))), block(4, F.col("b")), block(0x81, padding), F.lit(b"\xff\xf8sound"))
-    out = containers.flac_blocks(views.payload(spark, sf_dir).select("id", whole.alias("b")))
-    return out.select("id", "k", "kind", "last", "start", F.col("size").alias("bytes"))
+    return views.payload(spark, sf_dir).select("id", whole.alias("b"))
 
 
 @query(f"select ssrc as stream, row_number() over (partition by ssrc order by seq) - 1 as k, true as whole, md5(text) as digest from ({PACKETS})")
@@ -246,3 +249,19 @@ def ogg_split_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.write_files(containers.join_chunks(pages).select(F.concat(F.col("id").cast("string"), F.lit(".ogg")).alias("name"), "b"), folder)
     found = ogg.packets(ogg.read_pieces(spark, folder, 20_000))
     return found.select("stream", "k", "whole", F.md5("payload").alias("digest"))
+
+
+@query(ORACLE["flac_metadata"])
+def sql_flac_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of ``flac_metadata``'s files, by a table function in SQL."""
+    tables.register(spark)
+    return spark.sql("select f.id, t.k, t.kind, t.last, t.start, t.size as bytes from {files} f, lateral flac_blocks(f.b) t", files=_flac_files(spark, sf_dir))
+
+
+@query(f"""select ssrc as stream, count(*) as packets, sum(octet_length(encode(text)))::bigint as bytes, sum(octet_length(encode(text)) // 255 + 1)::bigint as segments from ({PACKETS}) group by ssrc""")
+def sql_ogg_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of packets through a table function in SQL, counted by stream."""
+    tables.register(spark)
+    pages = containers.ogg_pages(views.packets(spark, sf_dir).select(F.col("ssrc").alias("stream"), "seq", "b"))
+    return spark.sql("""select t.stream, count_if(t.begins) as packets, cast(sum(octet_length(t.payload)) as bigint) as bytes,
+      cast(sum(octet_length(t.payload) div 255 + if(t.ends, 1, 0)) as bigint) as segments from {pages} p, lateral ogg_parts(p.page) t group by t.stream""", pages=pages)
