@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from fluxtone.functions.vorbis import SETUP, setup_rows
 from fluxtone.operators.containers import FLAC_BLOCKS, MP4_BOXES, flac_block_rows, mp4_box_rows
 from fluxtone.operators.packet_codecs import _G726, _Ima
 from fluxtone.sources.ogg import HEAD, page_size, pieces
@@ -44,16 +45,24 @@ class OggParts:
             at += size or 1
 
 
+class VorbisSetup:
+    """Parts of a third Vorbis header's bytes, for a number of channels."""
+
+    def eval(self, b: bytes, channels: int) -> Iterator[tuple]:
+        yield from setup_rows(b, channels)
+
+
 #: Name, class and columns of each table function.
 TABLES = (
     ("flac_blocks", FlacBlocks, FLAC_BLOCKS),
     ("mp4_boxes", Mp4Boxes, MP4_BOXES),
+    ("vorbis_setup", VorbisSetup, SETUP),
     ("ogg_parts", OggParts, "stream long, number long, piece int, begins boolean, ends boolean, payload binary"),
 )
 
 
 def register(spark: SparkSession) -> None:
-    """Table functions flac_blocks, mp4_boxes and ogg_parts of a file's bytes; ima_samples(b) and g726_samples(b, bits) of a packet's."""
+    """Table functions flac_blocks, mp4_boxes and ogg_parts of a file's bytes, vorbis_setup of a header's; ima_samples(b) and g726_samples(b, bits) of a packet's."""
     for name, of, columns in TABLES:
         spark.udtf.register(name, F.udtf(of, returnType=columns))
 

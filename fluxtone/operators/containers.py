@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxtone.functions.bits import be, joined, to_be, to_le
-from fluxtone.functions.headers import wav_header, wav_info
+from fluxtone.functions.headers import wav_header
 
 
 def cut_frames(rows: DataFrame, start: Column, size: Column, total: Column) -> DataFrame:
@@ -20,11 +20,34 @@ def cut_frames(rows: DataFrame, start: Column, size: Column, total: Column) -> D
     return spans.select("id", F.explode(cut).alias("f")).select("id", "f.*")
 
 
+def wav_layout(b: bytes | None) -> tuple | None:
+    """channels, rate, bits, start and size of the samples of a WAV file, whatever chunks stand before them; None without a format or samples."""
+    if b is None or len(b) < 12 or bytes(b[:4]) != b"RIFF" or bytes(b[8:12]) != b"WAVE":
+        return None
+    at, form = 12, None
+    while at + 8 <= len(b):
+        kind, size = bytes(b[at : at + 4]), int.from_bytes(b[at + 4 : at + 8], "little")
+        if kind == b"fmt " and size >= 16 and at + 24 <= len(b):
+            form = int.from_bytes(b[at + 10 : at + 12], "little"), int.from_bytes(b[at + 12 : at + 16], "little"), int.from_bytes(b[at + 22 : at + 24], "little")
+        elif kind == b"data":
+            return None if form is None else (*form, at + 8, min(size, len(b) - at - 8))
+        at += 8 + size + size % 2  # a chunk of odd size has a byte of 0 after it
+    return None
+
+
+WAV_LAYOUT = "struct<channels:int,rate:int,bits:int,start:long,size:long>"
+
+
 def wav_frames(files: DataFrame) -> DataFrame:
-    """Frames of 20 ms of (id, b) WAV files."""
-    rows = files.withColumn("w", wav_info(F.col("b"))).where("w.data_size is not null")
-    size = F.col("w.channels") * (F.col("w.bits") / 8) * F.floor(F.col("w.rate") / 50)
-    return cut_frames(rows, F.lit(44), size, F.least(F.col("w.data_size"), F.octet_length("b") - 44))
+    """Frames of 20 ms of (id, b) WAV files; files without a format and samples have none."""
+
+    @F.pandas_udf(WAV_LAYOUT)
+    def layout(b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([wav_layout(x) or (None,) * 5 for x in b], columns=["channels", "rate", "bits", "start", "size"], dtype="Int64")
+
+    rows = files.withColumn("w", layout("b")).where("w.start is not null")
+    size = F.floor(F.col("w.channels") * (F.col("w.bits") / 8)) * F.floor(F.col("w.rate") / 50)
+    return cut_frames(rows, F.col("w.start"), F.greatest(size, F.lit(1)), F.col("w.size"))
 
 
 def pcm_frames(files: DataFrame, rate: int = 8000, milliseconds: int = 20, channels: int = 1, bits: int = 16) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxtone.functions import headers, tables
+from fluxtone.functions import headers, tables, vorbis
 from fluxtone.functions.bits import le, to_be, u8
 from fluxtone.operators import containers
 from fluxtone.operators.registry import CODECS, codec_table
@@ -40,15 +40,19 @@ def wav_header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.octet_length("f").cast("long").alias("bytes"), headers.wav_info(F.col("f")).alias("w")).select("id", "bytes", "w.*")
 
 
-@query(f"select id, k::int as k, 640 as bytes, substr(h, k * 1280 + 1, 8) as head from ({SIZES}) cross join lateral (select unnest(range(size // 640)) as k)")
+@query(f"select id, k::int as k, 640 as bytes, md5(unhex(substr(h, k * 1280 + 1, 1280))) as digest from ({SIZES}) cross join lateral (select unnest(range(size // 640)) as k)")
 def wav_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = views.payload(spark, sf_dir).select("id", containers.wav_file(F.col("b"), 16000).alias("b"))
-    return containers.wav_frames(files).select("id", "k", F.octet_length("payload").alias("bytes"), F.hex(F.substring("payload", 1, 4)).alias("head"))
+    """Frames of WAV files; in some, other chunks of odd and even sizes stand between the format and the samples."""
+    whole = containers.wav_file(F.col("b"), 16000)
+    other = F.lit(b"LIST\x03\x00\x00\x00abc\x00fact\x04\x00\x00\x00data")
+    longer = F.concat(F.substring(whole, 1, 36), other, F.substring(whole, F.lit(37), F.octet_length(whole)))
+    files = views.payload(spark, sf_dir).select("id", F.when(F.col("id") % 3 == 0, longer).otherwise(whole).alias("b"))
+    return containers.wav_frames(files).select("id", "k", F.octet_length("payload").alias("bytes"), F.md5("payload").alias("digest"))
 
 
-@query(f"select id, k::int as k, substr(h, k * 640 + 1, 8) as head from ({SIZES}) cross join lateral (select unnest(range(size // 320)) as k)")
+@query(f"select id, k::int as k, md5(unhex(substr(h, k * 640 + 1, 640))) as digest from ({SIZES}) cross join lateral (select unnest(range(size // 320)) as k)")
 def raw_pcm_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers.pcm_frames(views.payload(spark, sf_dir)).select("id", "k", F.hex(F.substring("payload", 1, 4)).alias("head"))
+    return containers.pcm_frames(views.payload(spark, sf_dir)).select("id", "k", F.md5("payload").alias("digest"))
 
 
 @query(f"select id, (size // 255 + 1) as segments, size % 255 as last, (size // 255 + 1 + 254) // 255 as pages from ({SIZES})")
@@ -166,13 +170,13 @@ def codec_registry_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(codec_table(spark)), "codec_id").select("id", "name")
 
 
-@query(f"""select id, size + case id % 5 when 1 then 6 else 4 end as bytes, case id % 5 when 1 then '00010100' || format('{{:02X}}{{:02X}}', size % 256, size // 256 % 256) when 2 then '24010000' || substr(h, 1, 4)
-  else '0001' || format('{{:02X}}', size // 2 % 256) || '00' || substr(h, 1, 4) end as head from ({SIZES})""")
+@query(f"""select id, size + case id % 5 when 1 then 6 else 4 end as bytes, md5(unhex(case id % 5 when 1 then '00010100' || format('{{:02X}}{{:02X}}', size % 256, size // 256 % 256) when 2 then '24010000'
+  else '0001' || format('{{:02X}}', size // 2 % 256) || '00' end || h)) as digest from ({SIZES})""")
 def chip_header_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers by a column of vendors, with unknown and missing ones among them."""
+    """Headers by a column of vendors, with unknown and missing ones among them, before whole payloads."""
     chip = F.get(F.array(F.lit("hisilicon"), F.lit("dahua"), F.lit("uniview"), F.lit("unknown"), F.lit(None)), (F.col("id") % 5).cast("int"))
     rows = views.payload(spark, sf_dir).select("id", headers.chip_add(F.col("b"), chip).alias("b"))
-    return rows.select("id", F.octet_length("b").cast("long").alias("bytes"), F.hex(F.substring("b", 1, 6)).alias("head"))
+    return rows.select("id", F.octet_length("b").cast("long").alias("bytes"), F.md5("b").alias("digest"))
 
 
 #: CRC-32 of one byte in each state of its low eight bits, by the rule of the polynomial.
@@ -265,3 +269,29 @@ def sql_ogg_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = containers.ogg_pages(views.packets(spark, sf_dir).select(F.col("ssrc").alias("stream"), "seq", "b"))
     return spark.sql("""select t.stream, count_if(t.begins) as packets, cast(sum(octet_length(t.payload)) as bigint) as bytes,
       cast(sum(octet_length(t.payload) div 255 + if(t.ends, 1, 0)) as bigint) as segments from {pages} p, lateral ogg_parts(p.page) t group by t.stream""", pages=pages)
+
+
+@query("""with e as (select event_id as id, (event_id % 5 + 1)::int as b, (user_id % 7 + 2)::int as n from events),
+  l as (select id, b, n, unnest(range(b)) as k from e)
+  select id, 'codebook' as part, k::int as k, 0 as kind, (n + k)::int as n, (k + 1)::int as size, list_sum(list_transform(range(n + k), lambda i: case when i % 3 = 2 then 0 else i % 32 + 1 end))::bigint as total from l
+  union all select id, 'floor', 0, 1, 1, n - 1, (n * (n - 1) / 2 * 10)::bigint from e
+  union all select id, 'residue', 0, b % 3, n, b * 16, 1024 from e
+  union all select id, 'mapping', 0, 0, 1, 0, 0 from e
+  union all select id, 'mode', k::int, (k % 2)::int, 0, 0, 0 from l""")
+def vorbis_setup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Third headers of one to five codebooks and as many modes, written and read back; every one cut short by a byte gives nothing."""
+    books, n = (F.col("id") % 5 + 1).cast("int"), (F.col("u") % 7 + 2).cast("int")
+    numbers = lambda count: F.sequence(F.lit(0), count - 1)
+    lengths = lambda k: F.transform(numbers(n + k), lambda i: F.when(i % 3 == 2, 0).otherwise(i % 32 + 1))
+    rows = _events(spark, sf_dir).select(
+        "id", (F.col("u") % 2 + 1).alias("channels"),
+        vorbis.setup(
+            F.transform(numbers(books), lambda k: vorbis.codebook(k + 1, lengths(k))),
+            F.array(vorbis.floor_of(F.transform(F.sequence(F.lit(1), n - 1), lambda i: i * 10))),
+            F.array(vorbis.residue(books % 3, books * 16, n)),
+            F.transform(numbers(books), lambda k: k % 2 == 1),
+        ).alias("b"),
+    )
+    tables.register(spark)
+    cut = rows.select((-F.col("id") - 1).alias("id"), "channels", F.substring("b", F.lit(1), F.octet_length("b") - 1).alias("b"))
+    return spark.sql("select h.id, t.* from {headers} h, lateral vorbis_setup(h.b, h.channels) t", headers=rows.union(cut))
