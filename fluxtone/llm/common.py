@@ -40,6 +40,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
+def small_reads(spark: SparkSession) -> None:
+    """Parquet batches of some hundred texts: a reader holds its batch on the heap, and grows it by doubling."""
+    if int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) > 256:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -37,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxtone.llm.common import small_batches, stored
+from fluxtone.llm.common import small_batches, small_reads, stored
 from fluxtone.llm.textops import _BASE, _K, _powers, joined, mix, parts, words
 
 
@@ -121,7 +121,7 @@ def _fingerprints(docs: DataFrame, run: int, least_words: int, long_words: int,
 
 
 def repeated_lines(docs: DataFrame, run: int, least_words: int, long_words: int, by_run: bool = False) -> DataFrame:
-    """doc_id, mark, lines: the places, among a document's lines with words, of those that go."""
+    """doc_id, mark, spans: the places, among a document's lines with words, of those that go, as ranges apart from each other (first, end)."""
     prints = stored(_fingerprints(docs, run, least_words, long_words, by_run), "prints")
     often = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
     keys = prints.join(often, "print").select("print", "doc_id", "mark", F.explode("windows").alias("w"))
@@ -130,24 +130,30 @@ def repeated_lines(docs: DataFrame, run: int, least_words: int, long_words: int,
     # repeated rows are one place, so places are counted by their ends
     firsts = keys.groupBy("print", "window").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").drop("last")
     later = keys.join(firsts, ["print", "window"]).where("at <> first")
-    runs = later.select("at.doc_id", "at.mark", "at.start", "at.size").distinct()
-    return runs.groupBy("doc_id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("size") - 1))))).alias("lines"))
+    runs = later.groupBy("at.doc_id", "at.mark", "at.start").agg(F.max("at.size").alias("size"))
+    # windows that touch or overlap become one range before they are gathered, so that a row holds no line more than once
+    text = Window.partitionBy("doc_id", "mark").orderBy("start")
+    runs = runs.withColumn("reach", F.max(F.col("start") + F.col("size")).over(text.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = runs.withColumn("range", F.count(F.when(F.coalesce(F.col("reach") < F.col("start"), F.lit(True)), 1)).over(text.rowsBetween(Window.unboundedPreceding, 0)))
+    ranges = runs.groupBy("doc_id", "mark", "range").agg(F.min("start").alias("first"), F.max(F.col("start") + F.col("size")).alias("end"))
+    return ranges.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("spans"))
 
 
 def line_dedup(docs: DataFrame, run: int = 2, least_words: int = 20, long_words: int = 50, by_run: bool = False) -> DataFrame:
     """One row per document: doc_id, text (what is left), n_lines (with words), removed (ranges of line numbers), n_removed."""
     small_batches(docs.sparkSession)
+    small_reads(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    gone = repeated_lines(rows, run, least_words, long_words, by_run).select(F.col("doc_id").alias("i"), F.col("mark").alias("m"), "lines")
+    gone = repeated_lines(rows, run, least_words, long_words, by_run).select(F.col("doc_id").alias("i"), F.col("mark").alias("m"), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in parts(batch["text"]):
                 left, n_lines, removed, n_removed = [], [], [], []
-                for raw, (number, _, _), lines in zip(texts, line_hashes(texts), batch["lines"][first : first + len(texts)].to_pylist(), strict=True):
+                for raw, (number, _, _), spans in zip(texts, line_hashes(texts), batch["spans"][first : first + len(texts)].to_pylist(), strict=True):
                     n_lines.append(len(number))
-                    drop = number[np.array(lines or [], np.int64)]
+                    drop = np.concatenate([number[:0], *[number[x["first"] : x["end"]] for x in spans or []]])
                     n_removed.append(len(drop))
                     edge = np.flatnonzero(np.diff(drop, prepend=-2) != 1)
                     removed.append([{"first": int(drop[a]), "last": int(drop[b - 1])} for a, b in zip(edge, [*edge[1:], len(drop)], strict=False)])
@@ -158,5 +164,5 @@ def line_dedup(docs: DataFrame, run: int = 2, least_words: int = 20, long_words:
                 kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
                 yield pa.record_batch({"doc_id": batch["doc_id"][first : first + len(texts)], "text": pa.array(left, pa.binary()).cast(pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "removed": pa.array(removed, kind), "n_removed": pa.array(n_removed, pa.int64())})
 
-    met = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left").select("doc_id", "text", "lines")
+    met = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left").select("doc_id", "text", "spans")
     return met.mapInArrow(cut, "doc_id long, text string, n_lines long, removed array<struct<first:long,last:long>>, n_removed long")
