@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from fluxtone.functions.bits import be, joined, to_be, to_le
 from fluxtone.functions.headers import wav_header
+from fluxtone.functions.vorbis import setup_bytes
 
 
 def cut_frames(rows: DataFrame, start: Column, size: Column, total: Column) -> DataFrame:
@@ -235,3 +238,19 @@ def join_chunks(rows: DataFrame) -> DataFrame:
     """id, b of (id, k, payload): a file's chunks one after another, as they are."""
     lists = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "payload"))).alias("l"))
     return lists.select("id", joined(F.col("l.payload")).alias("b"))
+
+
+#: Setup headers that are written at once: their bits are bytes of an array.
+AT_ONCE = 1000
+
+
+def setup_headers(rows: DataFrame) -> DataFrame:
+    """The rows with ``b``, a Vorbis setup header's bytes, in place of its parts in ``setup``; null where a part or a number of one is."""
+    columns = StructType([StructField("b", BinaryType()) if f.name == "setup" else f for f in rows.schema])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lot in (batch.slice(i, AT_ONCE) for i in range(0, batch.num_rows, AT_ONCE)):
+                yield lot.set_column(lot.schema.get_field_index("setup"), "b", setup_bytes(lot["setup"]))
+
+    return rows.mapInArrow(write, columns)

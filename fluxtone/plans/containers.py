@@ -283,15 +283,19 @@ def vorbis_setup(spark: SparkSession, sf_dir: str) -> DataFrame:
     books, n = (F.col("id") % 5 + 1).cast("int"), (F.col("u") % 7 + 2).cast("int")
     numbers = lambda count: F.sequence(F.lit(0), count - 1)
     lengths = lambda k: F.transform(numbers(n + k), lambda i: F.when(i % 3 == 2, 0).otherwise(i % 32 + 1))
-    rows = _events(spark, sf_dir).select(
+    # few bytes an event and much work: as many tasks as a shuffle has, however few the files
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = _events(spark, sf_dir).repartition(tasks, "id").select(
         "id", (F.col("u") % 2 + 1).alias("channels"),
         vorbis.setup(
             F.transform(numbers(books), lambda k: vorbis.codebook(k + 1, lengths(k))),
             F.array(vorbis.floor_of(F.transform(F.sequence(F.lit(1), n - 1), lambda i: i * 10))),
             F.array(vorbis.residue(books % 3, books * 16, n)),
             F.transform(numbers(books), lambda k: k % 2 == 1),
-        ).alias("b"),
+        ).alias("setup"),
     )
     tables.register(spark)
-    cut = rows.select((-F.col("id") - 1).alias("id"), "channels", F.substring("b", F.lit(1), F.octet_length("b") - 1).alias("b"))
-    return spark.sql("select h.id, t.* from {headers} h, lateral vorbis_setup(h.b, h.channels) t", headers=rows.union(cut))
+    # a header is written once, for itself and for what is left of it when cut
+    cut = F.struct((-F.col("id") - 1).alias("id"), F.substring("b", F.lit(1), F.octet_length("b") - 1).alias("b"))
+    headers = containers.setup_headers(rows).select("channels", F.inline(F.array(F.struct("id", "b"), cut)))
+    return spark.sql("select h.id, t.* from {headers} h, lateral vorbis_setup(h.b, h.channels) t", headers=headers)
